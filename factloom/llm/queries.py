@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every member but the first of a group of facts with alike contents."""
+    from .neardup import alike, group_members
+
+    return group_members(alike(table(spark, sf, "facts")))
+
+
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class of equal word sets that has a link, with its group and its number of links."""
+    from .neardup import alike
+
+    parts = alike(table(spark, sf, "facts"))
+    ends = parts["pairs"].select(F.explode(F.array("a", "b")).alias("fact_id")).groupBy("fact_id").agg(F.count(F.lit(1)).alias("links"))
+    return ends.join(parts["roots"], F.col("fact_id") == F.col("node")).select("fact_id", F.col("root").alias("group_id"), "links")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every copy but the first of its set."""
     from .canonical import copies
@@ -64,5 +80,5 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_counts, p4_found, p6_found, p6_golden, p7_ids, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_counts, p4_found, p6_found, p6_golden, p7_ids, p9_found, p9_forms)}
 ORACLE: dict[str, str] = {}
