@@ -8,6 +8,41 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 
+def _texts(spark: SparkSession, sf: str):
+    from .pii import lexicon, sources
+
+    texts = sources(table(spark, sf, "facts"), table(spark, sf, "observations"), table(spark, sf, "transcript_gate_gold"))
+    return texts, lexicon(table(spark, sf, "entities"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct mention of personal information in each text."""
+    from .pii import found
+
+    return found(*_texts(spark, sf))
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    from .pii import redacted
+
+    return redacted(*_texts(spark, sf))
+
+
+def p1_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct mention with its surrogate."""
+    from .pii import mentions, surrogates
+
+    return surrogates(mentions(*_texts(spark, sf)))
+
+
+def p1_pseudonymised(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with surrogates."""
+    from .pii import pseudonymised
+
+    return pseudonymised(*_texts(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every member but the first of a group of facts with alike contents."""
     from .neardup import alike, group_members
@@ -40,6 +75,21 @@ def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sets.select(F.col("first").alias("first_fact_id"), "copies")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of facts with very similar vectors, found among each other's five nearest."""
+    from .knn import near_pairs
+
+    return near_pairs(table(spark, sf, "fact_embeddings"))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar vectors of each vector whose fact_id is divisible by 20, against all."""
+    from .knn import searched
+
+    n = searched(table(spark, sf, "fact_embeddings"))
+    return n.select(F.col("identity").alias("embedding_identity"), F.col("id").alias("fact_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"), "rank")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Survivor, newest member and merged tags of every set of copies."""
     from .canonical import copies
@@ -80,5 +130,5 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_counts, p4_found, p6_found, p6_golden, p7_ids, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_surrogates, p1_pseudonymised, p2_found, p2_links, p4_counts, p4_found, p5_found, p5_neighbours, p6_found, p6_golden, p7_ids, p9_found, p9_forms)}
 ORACLE: dict[str, str] = {}
