@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import problems
+
+QUERIES: dict = {**problems.QUERIES}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "hybrid_rank"
