@@ -115,6 +115,21 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(table(spark, sf, "documents"))
 
 
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in containers of 2,048 tokens."""
+    from .encode import token_counts
+    from .packing import pack
+
+    return pack(token_counts(table(spark, sf, "documents")), "doc_id", "n_tokens")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    from .packing import fill_report
+
+    return fill_report(p8_packed(spark, sf))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every document but the first of a set that looks the same."""
     from .confusables import look_alikes
@@ -130,5 +145,5 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_surrogates, p1_pseudonymised, p2_found, p2_links, p4_counts, p4_found, p5_found, p5_neighbours, p6_found, p6_golden, p7_ids, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_surrogates, p1_pseudonymised, p2_found, p2_links, p4_counts, p4_found, p5_found, p5_neighbours, p6_found, p6_golden, p7_ids, p8_packed, p8_fill, p9_found, p9_forms)}
 ORACLE: dict[str, str] = {}
