@@ -282,7 +282,7 @@ def _blocks(model, k: int, rerank: int, least: float):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 6, rerank: int = 24, subspaces: int = SUBSPACES) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 5, rerank: int = 24, subspaces: int = SUBSPACES) -> DataFrame:
     """(identity, id, other, cosine, rank): the k most similar vectors of each usable vector, from ``least`` on.
 
     ``vectors``: fact_id, embedding, dim, embedding_identity.
