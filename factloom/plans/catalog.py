@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, retrieval, store
 
-QUERIES: dict = {**problems.QUERIES}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = {**store.QUERIES, **retrieval.QUERIES, **problems.QUERIES}
+ORACLE: dict[str, str] = {**store.ORACLE, **retrieval.ORACLE}
 FLAGSHIP = "hybrid_rank"
