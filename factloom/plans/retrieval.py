@@ -83,9 +83,9 @@ o AS (SELECT query_id, fact_id, CAST(count(*) AS DOUBLE) AS shared, CAST(any_val
   JOIN (SELECT fact_id, len(l) AS dn, unnest(l) AS token FROM (SELECT fact_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS l FROM facts WHERE content IS NOT NULL)) USING (token) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_Q}, {_OVER} SELECT query_id, fact_id, round(shared / (qn + dn - shared), 6) AS jaccard, round(shared / qn, 6) AS coverage FROM o WHERE shared / (qn + dn - shared) >= 0.2")
+@query(f"WITH {_Q}, {_OVER} SELECT query_id, fact_id, round(shared / (qn + dn - shared), 6) AS jaccard, round(shared / qn, 6) AS coverage FROM o WHERE shared / (qn + dn - shared) >= 0.05")
 def jaccard_search(spark, sf):
-    o = lexical.overlap(table(spark, sf, "facts"), search_queries(spark, sf), 0.2)
+    o = lexical.overlap(table(spark, sf, "facts"), search_queries(spark, sf), 0.05)
     return o.select("query_id", "fact_id", F.round("jaccard", 6).alias("jaccard"), F.round("coverage", 6).alias("coverage"))
 
 
