@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import coverage, jaccard, token_set, tokens
+from ..runtime import Cut
 
 # Parameters of BM25 and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -42,6 +43,7 @@ def bm25(facts: DataFrame, queries: DataFrame, keep: Column | None = None) -> Da
     q = query_tokens(queries)
     wanted = q.select("token").distinct()
     lists = facts.select("fact_id", (F.lit(True) if keep is None else keep).alias("keep"), tokens(indexed_text()).alias("t"))
+    lists = Cut(facts.sparkSession, "bm25")(lists, "lists")  # texts are tokenised once, not once per use
     stats = lists.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     hits = lists.select("fact_id", "keep", F.size("t").alias("dl"), F.explode("t").alias("token")).join(wanted, "token")
     p = hits.groupBy("fact_id", "token", "dl", "keep").agg(F.count(F.lit(1)).alias("tf"))
