@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, merge_states, merge_value_tokens, negated, opposing_states, state_words, subjectish, tag_list, value_tokens
+from ..functions.text import merge_states, merge_value_tokens, negated, tag_list
 from .components import components
 from .dense import cosine
 from .eligibility import active
@@ -89,22 +89,3 @@ def rewritten_provenance(provenance: DataFrame, members: DataFrame, plan: DataFr
     to = members.join(plan.select("cluster", "survivor"), "cluster").select("fact_id", "survivor")
     r = provenance.select("fact_id", "observation_id", "relation").join(to, "fact_id", "left")
     return r.select(F.coalesce("survivor", "fact_id").alias("fact_id"), "observation_id", "relation").distinct()
-
-
-def value_update(a: Column, b: Column) -> Column:
-    """One claim gives the other's subject a new value or the opposite polarity."""
-    va, vb = value_tokens(a), value_tokens(b)
-    shared = F.arrays_overlap(subjectish(a), subjectish(b))
-    polarity = shared & (opposing_states(state_words(a), state_words(b)) | (negated(a) != negated(b)))
-    rest = lambda t, v: F.sort_array(F.array_except(F.array_except(content_tokens(t), v), state_words(t)))
-    plain = (va == vb) | (F.size(va) == 0) | (F.size(vb) == 0)
-    return F.when(plain, polarity).otherwise(rest(a, va) == rest(b, vb))
-
-
-def value_update_pairs(facts: DataFrame, block: str = "subject_key") -> DataFrame:
-    """(newer, older): facts of one scope and block where the newer updates the older's value."""
-    rows = facts.where(active() & F.col("content").isNotNull() & F.col(block).isNotNull()).select("fact_id", "scope", F.col(block).alias("k"), "content")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fact_id") > F.col("b.fact_id"))
-    return a.join(b, on).where(value_update(F.col("a.content"), F.col("b.content"))).select(F.col("a.fact_id").alias("newer"), F.col("b.fact_id").alias("older"))
-

@@ -345,3 +345,166 @@ def context_pack(spark, sf):
 @query()
 def mmr_select(spark, sf):
     return context.mmr(_ranked(spark, sf), 8)
+
+
+# ---- claims, cases, gates -----------------------------------------------------------------------
+
+
+@query()
+def contradiction_pairs(spark, sf):
+    from ..operators.contradictions import contradiction_pairs as pairs
+
+    return pairs(table(spark, sf, "facts"))
+
+
+_WORDS = "regexp_extract_all(lower(content), '[a-z0-9]+')"
+
+
+def _words_sql(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _restatement_sql() -> str:
+    from ..functions.text import NEGATIONS, STOPWORDS
+
+    return f"""
+WITH r AS (SELECT fact_id, scope, list_sort(list_distinct(list_filter(t, lambda x: x NOT IN {_words_sql(STOPWORDS)}))) AS c, list_filter(t, lambda x: regexp_matches(x, '[0-9]')) AS v,
+  len(list_filter(t, lambda x: x IN {_words_sql(NEGATIONS)})) > 0 AS neg, list_distinct(t) AS s FROM (SELECT fact_id, scope, {_WORDS} AS t FROM facts WHERE {ACTIVE} AND content IS NOT NULL))
+SELECT a.fact_id AS newer, b.fact_id AS older FROM r a JOIN r b ON a.scope = b.scope AND a.c = b.c AND a.v = b.v AND a.neg = b.neg AND a.fact_id > b.fact_id
+WHERE len(a.s) > 0 AND CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) >= 0.8"""
+
+
+@query(_restatement_sql())
+def restatement_pairs(spark, sf):
+    from ..operators.contradictions import restatements
+
+    return restatements(table(spark, sf, "facts"))
+
+
+@query("SELECT concat('fact-', fact_id) AS id, content AS query, fact_id AS gold_fact_id, 'exact_fact' AS case_type FROM facts WHERE content IS NOT NULL AND content <> ''")
+def exact_cases(spark, sf):
+    from ..sources.arenas import exact_cases as cases
+
+    return cases(table(spark, sf, "facts"))
+
+
+@query()
+def paraphrase_cases(spark, sf):
+    from ..sources.arenas import paraphrase_cases as cases
+
+    return cases(table(spark, sf, "facts"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS cases, CAST(count(*) AS BIGINT) AS self_referential FROM facts WHERE content IS NOT NULL AND content <> ''")
+def self_referential(spark, sf):
+    from ..sources import arenas
+
+    f = table(spark, sf, "facts")
+    return arenas.self_referential(arenas.exact_cases(f), f)
+
+
+@query()
+def arena_matching(spark, sf):
+    """Gold facts of each case matched to the case's excerpts by token overlap: a maximum matching and its scores."""
+    from ..functions.text import jaccard, token_set
+    from ..operators.matching import matched_counts
+
+    f = table(spark, sf, "transcript_gate_gold").select("case_id", F.posexplode("facts").alias("i", "f"))
+    e = f.select("case_id", F.col("i").alias("left"), token_set(F.col("f.content")).alias("t"))
+    p = f.where("f.evidence_excerpt is not null").select("case_id", F.col("i").alias("right"), token_set(F.col("f.evidence_excerpt")).alias("u"))
+    edges = e.join(p, "case_id").where(jaccard(F.col("t"), F.col("u")) >= 0.2).select("case_id", "left", "right")
+    return matched_counts(e, p, edges)
+
+
+@query(f"WITH {_LEXICAL}, n AS (SELECT query_id, score, rank, lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS nxt FROM y) SELECT query_id, score AS top, round(score - coalesce(nxt, 0.0), 6) AS margin FROM n WHERE rank = 1")
+def result_margins(spark, sf):
+    from ..operators.gates import margins
+
+    return margins(_ranked(spark, sf))
+
+
+@query(f"""
+WITH {_RESULTS}, m AS (SELECT
+  count(*) FILTER (WHERE NOT abstain) AS n1, avg(CASE WHEN gr IS NOT NULL AND NOT list_has_any(list_slice(ranked, 1, 3), stale) THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT abstain) AS v1,
+  count(*) FILTER (WHERE abstain) AS n2, avg(CASE WHEN len(ranked) = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE abstain) AS v2,
+  count(*) FILTER (WHERE NOT abstain AND len(stale) > 0) AS n3, avg(CASE WHEN list_has_any(list_slice(ranked, 1, 3), stale) THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT abstain AND len(stale) > 0) AS v3 FROM e)
+SELECT 'temporal' AS metric, CASE WHEN n1 = 0 THEN 'blocked' ELSE 'measured' END AS status, round(v1, 6) AS value FROM m
+UNION ALL SELECT 'abstention', CASE WHEN n2 = 0 THEN 'blocked' ELSE 'measured' END, round(v2, 6) FROM m
+UNION ALL SELECT 'stale_exposed', CASE WHEN n3 = 0 THEN 'blocked' ELSE 'measured' END, round(v3, 6) FROM m""")
+def truth_scorecard(spark, sf):
+    from ..operators.gates import truth_scorecard as card
+
+    return card(results(spark, sf))
+
+
+_COVERED = ("valid_from", "valid_to", "subject_key", "predicate_key", "object_value", "memory_kind", "confidence", "source_authority")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS facts, " + ", ".join(f"round(coalesce(count({c}) / nullif(CAST(count(*) AS DOUBLE), 0), 0.0), 6) AS {c}" for c in _COVERED) + " FROM facts")
+def coverage_ratios(spark, sf):
+    from ..operators.gates import coverage_ratios as ratios
+
+    return ratios(table(spark, sf, "facts"))
+
+
+@query("""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, value AS p FROM r WHERE i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1)""")
+def index_percentile(spark, sf):
+    from ..operators.gates import index_percentile as p
+
+    return p(table(spark, sf, "events"), "value", "event_type")
+
+
+@query("""
+SELECT DISTINCT fact_id, content FROM (
+  (SELECT fact_id, content FROM facts ORDER BY trust_score DESC NULLS LAST, fact_id DESC LIMIT 25) UNION ALL (SELECT fact_id, content FROM facts ORDER BY fact_id DESC LIMIT 15))""")
+def existing_summary(spark, sf):
+    from ..operators.gates import summary_facts
+
+    return summary_facts(table(spark, sf, "facts"))
+
+
+@query()
+def table_fingerprints(spark, sf):
+    from ..operators.gates import fingerprint
+
+    names = ("entities", "facts", "fact_provenance", "memory_sessions", "observations")
+    parts = [fingerprint(table(spark, sf, n)).withColumn("name", F.lit(n)) for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""
+SELECT client_id, session_id, observation_id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN first_value(content_sha256) OVER w = content_sha256 THEN 'replay' ELSE 'clash' END AS outcome
+FROM observations WINDOW w AS (PARTITION BY client_id, session_id ORDER BY observation_id)""")
+def write_idempotency(spark, sf):
+    """The envelope's outcome where a client's session is taken as its idempotency key."""
+    from ..operators.extraction import idempotent
+
+    o = table(spark, sf, "observations").select("client_id", "session_id", "observation_id", "content_sha256")
+    return idempotent(o, "client_id", "session_id", "content_sha256", "observation_id").select("client_id", "session_id", "observation_id", "outcome")
+
+
+@query()
+def typed_proposals(spark, sf):
+    from ..operators.extraction import proposals
+
+    return proposals(table(spark, sf, "facts"))
+
+
+@query()
+def evidence_review(spark, sf):
+    """Gold facts whose excerpt cannot carry the claim."""
+    from ..operators.extraction import must_review
+
+    f = table(spark, sf, "transcript_gate_gold").select("case_id", F.posexplode("facts").alias("item_no", "f"))
+    return f.select("case_id", "item_no", must_review(F.col("f.content"), F.col("f.evidence_excerpt")).alias("must_review"))
+
+
+@query()
+def hash_embeddings(spark, sf):
+    """Deterministic feature-hash vectors of every fact."""
+    return dense.hash_embedding(table(spark, sf, "facts"))

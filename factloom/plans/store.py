@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bitemporal, dedup, eligibility, erasure, projections, provenance, queues, slots
+from ..operators import bitemporal, contradictions, dedup, eligibility, erasure, projections, provenance, queues, slots
 from ..sources import sinks
 from ..sources.tables import table
 
@@ -481,7 +481,7 @@ def merge_references(spark, sf):
 
 @query()
 def value_updates(spark, sf):
-    return dedup.value_update_pairs(table(spark, sf, "facts").where("memory_kind is null or memory_kind != 'state'"))
+    return contradictions.value_update_pairs(table(spark, sf, "facts").where("memory_kind is null or memory_kind != 'state'"))
 
 
 def _erased(spark, sf):

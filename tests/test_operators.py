@@ -10,8 +10,10 @@ from factloom.functions.times import instant, utc_text
 from factloom.operators import context, evaluation, ranking, slots, spans
 from factloom.operators.components import components
 from factloom.operators.dense import cosine, hash_embedding
-from factloom.operators.dedup import guard_key, value_update
+from factloom.operators.contradictions import claims, conflict_label, contradicts, value_update
+from factloom.operators.dedup import guard_key
 from factloom.operators.screens import credential_shaped, instruction_shaped, rejection
+from factloom.runtime import Cut
 from factloom.sources.schemas import check_schema, with_missing_columns
 
 
@@ -66,7 +68,26 @@ def test_tokens_and_states(spark):
     ("the proxy is not used", "the proxy is used", True), ("port is 3100", "port is 3100", False), ("port 1 of alpha", "port 2 of beta", False),
 ])
 def test_value_update(spark, a, b, want):
-    assert one(spark, value_update(F.col("a"), F.col("b")), a=a, b=b) is want
+    assert pair(spark, value_update, a, b) is want
+
+
+def pair(spark, test, a, b):
+    c = claims(spark.createDataFrame([(1, a), (2, b)], "i int, content string"), Cut(spark, "t"))
+    return c.where("i = 1").alias("a").crossJoin(c.where("i = 2").alias("b")).select(test("a", "b").alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("a,b,want", [
+    ("the cache is enabled", "the cache is disabled", True), ("the big cache is enabled", "the small cache is disabled", False), ("Ann uses vim daily", "Ann uses emacs weekly", True),
+    ("load memory 1", "load memory 2", False), ("port is 3100", "port is 3200", True), ("tea was served", "the port is 3100", False),
+])
+def test_contradicts(spark, a, b, want):
+    assert pair(spark, contradicts, a, b) is want
+
+
+def test_conflict_label(spark):
+    label = lambda a, b: tuple(one(spark, conflict_label(F.col("a"), F.col("b")), a=a, b=b))
+    assert label("the cache port is 1", "cache ports are 2") == ("cache", "port")
+    assert label("alpha", "beta") == ("untyped", "claim")
 
 
 def test_guard(spark):
