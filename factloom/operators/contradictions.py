@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STEM_SUFFIXES, content_tokens, jaccard, negated, opposing_states, state_words, subjectish, token_set, tokens, value_tokens, words_array
-from ..runtime import Cut
+from ..runtime import Cut, spread
 from .eligibility import active
 
 # Words that frame a claim about a value, plain copulas among them, and polarity words outside the residue.
@@ -40,7 +40,7 @@ def claims(rows: DataFrame, cut: Cut, text: str = "content") -> DataFrame:
     tokenised per pair.
     """
     t = F.col(text)
-    base = rows.withColumns({
+    base = spread(rows).withColumns({
         "tok": tokens(t), "val": value_tokens(t), "states": state_words(t), "neg": negated(t), "subj": subjectish(t), "words": content_tokens(t),
         "framed": F.arrays_overlap(token_set(t), words_array(FRAMES)),
     })
@@ -90,9 +90,13 @@ def contradiction_pairs(facts: DataFrame) -> DataFrame:
     """(newer, older): untyped active claims of one scope that contradict each other."""
     rows = facts.where(active() & F.col("content").isNotNull() & (F.col("memory_kind").isNull() | (F.col("memory_kind") != "state"))).select("fact_id", "scope", "content")
     c = claims(rows, Cut(facts.sparkSession, "claims")).drop("content")
+    # a swap behind three common tokens needs no more; behind two it needs a verb among them or values only
+    verbs = words_array(w for w in FRAMES if w not in COPULAS)
+    short = F.arrays_overlap(F.slice("tok", 1, PREFIX), verbs) | F.forall(F.slice(F.col("tok"), F.lit(PREFIX + 1), F.greatest(F.size("tok") - PREFIX, F.lit(0))), lambda t: t.rlike("[0-9]"))
     keys = F.array(
         F.when(F.size("residue") > 0, F.xxhash64(F.lit(1), "residue")), F.when(F.col("framed"), F.xxhash64(F.lit(2), "frame")),
-        F.when(F.col("framed") & (F.size("tok") >= PREFIX), F.xxhash64(F.lit(3), F.slice("tok", 1, PREFIX))),
+        F.when(F.col("framed") & (F.size("tok") > PREFIX + 1), F.xxhash64(F.lit(3), F.slice("tok", 1, PREFIX + 1))),
+        F.when(F.col("framed") & (F.size("tok") > PREFIX) & short, F.xxhash64(F.lit(4), F.slice("tok", 1, PREFIX))),
     )
     c = c.withColumn("k", F.explode(F.filter(keys, lambda k: k.isNotNull())))
     met = c.alias("a").join(c.alias("b"), (F.col("a.scope") == F.col("b.scope")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fact_id") > F.col("b.fact_id")))

@@ -79,3 +79,9 @@ class Cut:
 def partitions(spark: SparkSession) -> int:
     """The session's own number of shuffle partitions, which follows the cluster."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work heavy per row: rows that arrive in fewer partitions than there are cores are dealt out."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
