@@ -26,7 +26,7 @@ def conversations(turns: DataFrame, max_chars: int = 100_000) -> DataFrame:
 def located(text: Column, excerpt: Column) -> Column:
     """(start, stop, times) of an excerpt in a text; zero times where it is absent or empty."""
     n = F.when(F.length(excerpt) > 0, (F.length(text) - F.length(F.replace(text, excerpt, F.lit("")))) / F.length(excerpt)).otherwise(0).cast("int")
-    at = F.locate(excerpt, text) - 1 if isinstance(excerpt, str) else F.expr("1") * 0 + F.instr(text, excerpt) - 1
+    at = F.instr(text, excerpt) - 1
     return F.struct(F.when(n > 0, at).alias("start"), F.when(n > 0, at + F.length(excerpt)).alias("stop"), F.coalesce(n, F.lit(0)).alias("times"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, dense, evaluation, lexical, ranking, screens, spans
+from ..functions.text import STOPWORDS
+from ..operators import context, dense, eligibility, evaluation, expansion, lexical, ranking, screens, spans
 from ..operators.eligibility import active, reviewed, visible
 from ..sources.tables import table
-from .store import ACTIVE, IDENTITY, NOW, SCOPES, _PRESENT, at
+from .store import ACTIVE, AT_KNOWN, IDENTITY, NOW, SCOPES, _KNOWN, _PRESENT, at
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -508,3 +509,67 @@ def evidence_review(spark, sf):
 def hash_embeddings(spark, sf):
     """Deterministic feature-hash vectors of every fact."""
     return dense.hash_embedding(table(spark, sf, "facts"))
+
+
+# ---- around the ranked list ---------------------------------------------------------------------
+
+@query(f"""
+WITH {_Q}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), p AS (SELECT fact_id, unnest(list_distinct({_TOK})) AS token FROM facts WHERE {_KNOWN})
+SELECT query_id, fact_id FROM qt JOIN p USING (token) JOIN need USING (query_id) GROUP BY query_id, fact_id, need HAVING count(*) = need""")
+def asof_search(spark, sf):
+    return lexical.all_tokens(table(spark, sf, "facts"), search_queries(spark, sf), eligibility.as_of(known_at=AT_KNOWN))
+
+
+@query(f"""
+WITH {_Q}, s AS (SELECT query_id, token, count(*) OVER (PARTITION BY query_id) AS n FROM qt WHERE token NOT IN {_words_sql(STOPWORDS)}),
+d AS (SELECT fact_id, unnest(list_distinct({_WORDS})) AS token FROM facts WHERE content IS NOT NULL),
+g AS (SELECT query_id, fact_id, round(CAST(count(*) AS DOUBLE) / any_value(n), 6) AS score FROM s JOIN d USING (token) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM g)
+SELECT query_id, fact_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def lexical_baseline(spark, sf):
+    return expansion.baseline(table(spark, sf, "facts"), search_queries(spark, sf))
+
+
+@query(f"""
+WITH {_Q}, u AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS t FROM q),
+c AS (SELECT DISTINCT conflict_group, unnest(regexp_extract_all(lower(concat_ws(' ', subject_key, predicate_key, object_value)), '[\\p{{L}}\\p{{N}}]+')) AS t FROM facts WHERE conflict_group IS NOT NULL)
+SELECT query_id, conflict_group FROM u JOIN c USING (t) GROUP BY 1, 2 HAVING count(*) >= 2 OR max(length(t)) >= 6""")
+def relevant_receipts(spark, sf):
+    return expansion.relevant_receipts(table(spark, sf, "facts"), search_queries(spark, sf))
+
+
+@query(f"WITH {_BM25}, {_TOP} SELECT fact_id, CAST(count(*) AS BIGINT) AS returned FROM t WHERE rank <= 10 GROUP BY 1")
+def retrieval_increments(spark, sf):
+    return expansion.increments(_bm25_top(spark, sf))
+
+
+@query(f"""
+SELECT object_entity_id AS entity_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(fact_id AS VARCHAR), ',' ORDER BY fact_id) AS fact_ids FROM facts
+WHERE {ACTIVE} AND object_entity_id IS NOT NULL AND memory_kind IS DISTINCT FROM 'insight' GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25""")
+def reflection_clusters(spark, sf):
+    return expansion.entity_clusters(table(spark, sf, "facts"))
+
+
+@query()
+def entity_expansion_rank(spark, sf):
+    return expansion.entity_expansion(_ranked(spark, sf), table(spark, sf, "facts"))
+
+
+@query("""
+SELECT fact_id, CASE WHEN CAST('0x' || substr(sha256(concat('0:', fact_id)), 1, 8) AS BIGINT) / 4294967296.0 < 0.7 THEN 'tune' ELSE 'holdout' END AS split FROM facts""")
+def tune_holdout(spark, sf):
+    return expansion.tune_holdout(table(spark, sf, "facts").select("fact_id"), "fact_id")
+
+
+@query()
+def supersede_plan(spark, sf):
+    from ..operators.contradictions import value_update_pairs
+
+    f = table(spark, sf, "facts")
+    return expansion.supersede_plan(f, value_update_pairs(f.where("memory_kind is null or memory_kind != 'state'")), "2026-01-01T00:00:00Z")
+
+
+@query("SELECT conflict_group, CAST(count(*) AS BIGINT) AS members, max(fact_id) AS newest FROM facts WHERE conflict_group IS NOT NULL GROUP BY 1")
+def open_conflicts(spark, sf):
+    f = table(spark, sf, "facts").where("conflict_group is not null")
+    return f.groupBy("conflict_group").agg(F.count(F.lit(1)).alias("members"), F.max("fact_id").alias("newest"))
