@@ -157,13 +157,20 @@ class Lexicon:
         return got
 
 
-def _is_given(word: str, family: str, lex: Lexicon) -> bool:
-    """Known given names in any case; others where they are written like the family name and as a name."""
+_OPENING = re.compile(r"(?:^|[\n.;:!?–—|(\[\"“]\s*)$")
+_LAST_WORD = re.compile(r"([^\W\d_]+)\.?\s$")
+
+
+def _is_given(word: str, family: str, before: str, lex: Lexicon) -> bool:
+    """Known given names in any case; others where they are written like the family name and stand where a name begins."""
     low = word.lower()
     if low in lex.given or low.split("-")[0] in lex.given:
         return True
     if low in _NOT_GIVEN or len(low) < 2:
         return False
+    if word.islower() and family.islower():
+        last = _LAST_WORD.search(before)
+        return bool(_OPENING.search(before)) or bool(last and last[1].lower() in _NOT_GIVEN)
     return (word.istitle() and family.istitle()) or (word.isupper() and family.isupper())
 
 
@@ -195,7 +202,7 @@ def _names(text: str, low: str, lex: Lexicon):
         inner = before[: len(before) - len(mid[1])] if mid else before
         g = _GIVEN.search(inner)
         at = start - len(before)
-        if g and _is_given(g[1], text[m.start() : m.end()], lex):
+        if g and _is_given(g[1], text[m.start() : m.end()], inner[: g.start(1)], lex):
             first = at + g.start(1)
             more = _GIVEN.search(text[max(0, first - 40) : first])
             while more and more[1].lower() in lex.given:

@@ -30,6 +30,7 @@ def said(text):
     ("as Z. Plinzistadt asked", [("person_name", "Z. Plinzistadt")]),
     ("per Iñaki van der Calqembry's request", [("person_name", "Iñaki van der Calqembry")]),
     ("Lucinda Varnolashti-Holvembry signed", [("person_name", "Lucinda Varnolashti-Holvembry")]),
+    ("per mara calqashti-plinzembry's request; the quiet calqashti group", [("person_name", "mara calqashti-plinzembry")]),
     ("Zelda signed; as Calqashti asked; team nornavane; zelda.calqashti@example.org", [("email", "zelda.calqashti@example.org")]),
     ("", []),
 ])
