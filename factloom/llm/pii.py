@@ -157,6 +157,8 @@ class Lexicon:
         return got
 
 
+# Words that introduce a name.
+_BEFORE_NAME = frozenset("and as by cc dear dr from hello hi in is miss mr mrs ms per prof regards thanks to was with".split())
 _OPENING = re.compile(r"(?:^|[\n.;:!?–—|(\[\"“]\s*)$")
 _LAST_WORD = re.compile(r"([^\W\d_]+)\.?\s$")
 
@@ -170,7 +172,7 @@ def _is_given(word: str, family: str, before: str, lex: Lexicon) -> bool:
         return False
     if word.islower() and family.islower():
         last = _LAST_WORD.search(before)
-        return bool(_OPENING.search(before)) or bool(last and last[1].lower() in _NOT_GIVEN)
+        return bool(_OPENING.search(before)) or bool(last and last[1].lower() in _BEFORE_NAME)
     return (word.istitle() and family.istitle()) or (word.isupper() and family.isupper())
 
 
