@@ -75,7 +75,7 @@ def overlap(facts: DataFrame, queries: DataFrame, least: float = 0.0) -> DataFra
     docs = facts.select("fact_id", token_set(F.col("content")).alias("d"))
     q = queries.select("query_id", token_set(F.col("query")).alias("q"))
     shared = docs.select("fact_id", F.size("d").alias("dn"), F.explode("d").alias("token")).join(q.select("query_id", F.size("q").alias("qn"), F.explode("q").alias("token")), "token")
-    g = shared.groupBy("query_id", "fact_id", "qn", "dn").agg(F.count(F.lit(1)).alias("both"))
+    g = shared.groupBy("query_id", "fact_id").agg(F.count(F.lit(1)).alias("both"), F.max("qn").alias("qn"), F.max("dn").alias("dn"))
     out = g.select("query_id", "fact_id", (F.col("both") / (F.col("qn") + F.col("dn") - F.col("both"))).alias("jaccard"), (F.col("both") / F.col("qn")).alias("coverage"))
     return out.where(F.col("jaccard") >= least)
 
