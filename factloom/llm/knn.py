@@ -11,6 +11,8 @@ Per embedding identity (identities never meet):
   subspaces, plus query against centroid); the ``rerank`` best per cell and
   query are compared exactly.
 * The best ``k`` over all visited cells remain.
+* Vectors travel to the cells in packs, without loss: the bytes that hold sign
+  and exponent, which take few values in unit vectors, are Huffman-coded.
 
 A cell with many vectors is cut into chunks that are blocks of their own, and
 its queries visit every chunk, so no block is unbounded and no vector is left
@@ -37,6 +39,8 @@ SUBSPACES = 8
 CODES = 256
 CHUNK = 8192
 TILE = 1024
+#: Vectors of one block that travel in one row.
+PACK = 16
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -166,12 +170,52 @@ def _cell_counts(model):
     return run
 
 
+def _packs(block, role: int, ids, v, codes=None):
+    """A record batch of packs: rows of one block together, at most PACK each."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(block, kind="stable")
+    block, ids, planes = block[order], ids[order].astype(np.int64), v[order].view(np.uint8).reshape(len(order), v.shape[1], 4)
+    codes = None if codes is None else codes[order]
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
+    place = np.arange(len(block)) - np.repeat(start, np.diff(np.r_[start, len(block)]))
+    start = np.flatnonzero(place % PACK == 0)
+    packed = []
+    for s, e in zip(start, np.r_[start, len(block)][1:], strict=True):
+        z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+        head = z.compress(planes[s:e, :, 3].tobytes()) + z.flush()
+        packed.append((ids[s:e].tobytes(), planes[s:e, :, :3].tobytes() + head, b"" if codes is None else codes[s:e].tobytes()))
+    columns = [pa.array([x[i] for x in packed], pa.binary()) for i in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array(np.full(len(start), role, np.int32)), *columns], ["block", "role", "ids", "v", "codes"])
+
+
+def _unpacked(packs, dim: int):
+    """(ids, unit vectors, is an index row, codes of the index rows) of packs."""
+    import zlib
+
+    import numpy as np
+
+    role = packs.column("role").to_numpy()
+    ids = [np.frombuffer(x, np.int64) for x in packs.column("ids").to_pylist()]
+    n = [len(x) for x in ids]
+    planes, at = np.empty((sum(n), dim, 4), np.uint8), 0
+    for k, x in zip(n, packs.column("v").to_pylist(), strict=True):
+        planes[at : at + k, :, :3] = np.frombuffer(x, np.uint8, 3 * dim * k).reshape(k, dim, 3)
+        planes[at : at + k, :, 3] = np.frombuffer(zlib.decompress(x[3 * dim * k :], -15), np.uint8).reshape(k, dim)
+        at += k
+    indexed = np.repeat(role == 0, n)
+    codes = np.frombuffer(b"".join(packs.column("codes").to_pylist()), np.uint8)
+    return np.concatenate(ids), planes.reshape(at, 4 * dim).view(np.float32), indexed, codes.reshape(int(indexed.sum()), -1) if len(codes) else codes
+
+
 def _visits(model, chunks: dict[tuple[str, int], int], probes: int):
-    """Index rows (role 0) and visiting queries (role 1) by block."""
+    """Packs of index rows (role 0) and of visiting queries (role 1) by block."""
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         order = {n: i for i, n in enumerate(sorted(model.value))}
         for b in batches:
@@ -192,12 +236,8 @@ def _visits(model, chunks: dict[tuple[str, int], int], probes: int):
                         n_chunks[c] = k
                 mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n_chunks[home]
                 base = order[name] << 48
-                raw = [x.tobytes() for x in v]
                 # index rows; as queries they meet their own chunk without a second copy
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(base | (home << 16) | mine), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.array(raw, pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary())],
-                    ["block", "role", "id", "v", "codes"],
-                )
+                yield _packs(base | (home << 16) | mine, 0, ids, v, codes)
                 row = np.repeat(np.arange(len(v)), p)
                 cell = near.ravel()
                 row, cell = np.repeat(row, n_chunks[cell]), np.repeat(cell, n_chunks[cell])
@@ -206,10 +246,7 @@ def _visits(model, chunks: dict[tuple[str, int], int], probes: int):
                 chunk = np.arange(len(row)) - np.repeat(run_start, np.diff(np.r_[run_start, len(row)]))
                 away = ~((cell == home[row]) & (chunk == mine[row]))
                 row, cell, chunk = row[away], cell[away], chunk[away]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(base | (cell << 16) | chunk), pa.array(np.ones(len(row), np.int32)), pa.array(ids[row]), pa.array([raw[i] for i in row], pa.binary()), pa.array([b""] * len(row), pa.binary())],
-                    ["block", "role", "id", "v", "codes"],
-                )
+                yield _packs(base | (cell << 16) | chunk, 1, ids[row], v[row])
 
     return run
 
@@ -240,7 +277,7 @@ def _search(x_ids, x, codes, q_ids, q, centroid, books, k: int, rerank: int, lea
     return np.concatenate(qs), np.concatenate(cs), np.concatenate(sims)
 
 
-def _blocks(model, k: int, rerank: int, least: float):
+def _blocks(model, k: int, rerank: int, least: float, kind: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -250,20 +287,17 @@ def _blocks(model, k: int, rerank: int, least: float):
 
         def flush():
             block = pa.Table.from_batches(held).combine_chunks()
-            role = block.column("role").to_numpy()
-            ids = block.column("id").to_numpy()
-            vec = np.frombuffer(b"".join(block.column("v").to_pylist()), np.float32).reshape(len(ids), -1)
-            index = np.flatnonzero(role == 0)
+            name = names[current >> 48]
+            cent, books = model.value[name]
+            ids, vec, indexed, codes = _unpacked(block, cent.shape[1])
+            index = np.flatnonzero(indexed)
             if not len(index):
                 return None
             _, once = np.unique(ids[index], return_index=True)
             index = index[once]
-            name = names[current >> 48]
-            cent, books = model.value[name]
-            code = np.frombuffer(b"".join(block.column("codes").take(pa.array(index)).to_pylist()), np.uint8).reshape(len(index), -1)
-            ask = np.r_[index, np.flatnonzero(role == 1)]
-            q, c, sim = _search(ids[index], vec[index], code, ids[ask], vec[ask], cent[(current >> 16) & 0xFFFFFFFF], books, k, rerank, least)
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(q), pa.string()), pa.array(q), pa.array(c), pa.array(sim.astype(np.float64))], ["identity", "id", "other", "cosine"])
+            ask = np.r_[index, np.flatnonzero(~indexed)]
+            q, c, sim = _search(ids[index], vec[index], codes[once], ids[ask], vec[ask], cent[(current >> 16) & 0xFFFFFFFF], books, k, rerank, least)
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(q), pa.string()), pa.array(q).cast(kind), pa.array(c).cast(kind), pa.array(sim.astype(np.float64))], ["identity", "id", "other", "cosine"])
 
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -282,7 +316,7 @@ def _blocks(model, k: int, rerank: int, least: float):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 5, rerank: int = 24, subspaces: int = SUBSPACES) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 6, rerank: int = 24, subspaces: int = SUBSPACES) -> DataFrame:
     """(identity, id, other, cosine, rank): the k most similar vectors of each usable vector, from ``least`` on.
 
     ``vectors``: fact_id, embedding, dim, embedding_identity.
@@ -301,9 +335,9 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int
         if any(n > CHUNK for n in sizes.values()) else []
     )  # at most MAX_CELLS rows per identity
     chunks = {(r["identity"], r["cell"]): -(-r["k"] // CHUNK) for r in crowd}
-    visits = rows.mapInArrow(_visits(model, chunks, probes), f"block long, role int, id {kind}, v binary, codes binary")
+    visits = rows.mapInArrow(_visits(model, chunks, probes), "block long, role int, ids binary, v binary, codes binary")
     found = visits.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(
-        _blocks(model, k, rerank, least), f"identity string, id {kind}, other {kind}, cosine double"
+        _blocks(model, k, rerank, least, {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind]), f"identity string, id {kind}, other {kind}, cosine double"
     )
     w = Window.partitionBy("identity", "id").orderBy(F.col("cosine").desc(), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
