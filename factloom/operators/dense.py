@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-#: A query set travels to every task, so its size is checked.
+#: A query set travels to every task, so a larger one goes in blocks of this size, one pass each.
 MAX_QUERIES = 10_000
+#: Queries compared at once with an Arrow batch.
+TILE = 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,42 +38,68 @@ def present(vectors: DataFrame, identity: str | None = None) -> DataFrame:
     return rows.groupBy("fact_id", "embedding_identity").agg(F.min("embedding").alias("embedding"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, fact_id, cosine, rank): exact top-k of each query vector against all rows.
+def _query_blocks(queries: DataFrame):
+    """(ids, unit vectors) of at most MAX_QUERIES queries, block after block."""
+    import numpy as np
 
-    ``queries`` (query_id, embedding) are at most MAX_QUERIES. Each task keeps
-    k per query, so the shuffle holds tasks * queries * k rows, not all pairs.
-    """
-    from pyspark.sql import Window
+    def block(ids, q):
+        m = np.stack(q)
+        return ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
-    ship(vectors.sparkSession)
-    rows = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("too many query vectors for one pass; run them in blocks")
-    ids = [r["query_id"] for r in rows]
-    q = [list(r["embedding"]) for r in rows]
+    ids, q = [], []
+    for r in queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True):
+        ids.append(r["query_id"])
+        q.append(np.array(r["embedding"], np.float64))
+        if len(ids) == MAX_QUERIES:
+            yield block(ids, q)
+            ids, q = [], []
+    if ids:
+        yield block(ids, q)
+
+
+def _best(queries, k: int, least: float):
+    """The k best rows of every batch for each query of a block."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        m = np.array(q, np.float64)
-        if len(m):
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+        ids, m = pa.array(queries.value[0], pa.int64()), queries.value[1]
         for b in batches:
-            if not b.num_rows or not len(m):
+            if not b.num_rows:
                 continue
             lists = b.column(1)
             x = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            sim = m @ x.T
             n = min(k, b.num_rows)
-            best = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < b.num_rows else np.tile(np.arange(n), (len(m), 1))
-            s = np.take_along_axis(sim, best, 1)
-            i, j = np.nonzero(s >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], pa.int64()), b.column(0).take(pa.array(best[i, j])), pa.array(s[i, j])], ["query_id", "fact_id", "cosine"])
+            for t in range(0, len(m), TILE):
+                sim = m[t : t + TILE] @ x.T
+                best = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < b.num_rows else np.tile(np.arange(n), (len(sim), 1))
+                s = np.take_along_axis(sim, best, 1)
+                i, j = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(t + i)), b.column(0).take(pa.array(best[i, j])), pa.array(s[i, j])], ["query_id", "fact_id", "cosine"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """(query_id, fact_id, cosine, rank): exact top-k of each query vector against all rows.
+
+    ``queries`` (query_id, embedding) run in blocks of at most MAX_QUERIES.
+    Each task keeps k per query, so the shuffle holds tasks * queries * k rows,
+    not all pairs.
+    """
+    from pyspark.sql import Window
 
-    found = vectors.select("fact_id", "embedding").mapInArrow(run, "query_id long, fact_id long, cosine double")
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select("fact_id", "embedding")
+    found = None
+    for block in _query_blocks(queries):
+        part = rows.mapInArrow(_best(spark.sparkContext.broadcast(block), k, least), "query_id long, fact_id long, cosine double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, fact_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.round("cosine", 6).desc(), "fact_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.functions.times import instant, utc_text
-from factloom.operators import context, evaluation, ranking, slots, spans
+from factloom.operators import context, dense, evaluation, ranking, slots, spans
 from factloom.operators.components import components
 from factloom.operators.dense import cosine, hash_embedding
 from factloom.operators.contradictions import claims, conflict_label, contradicts, value_update
@@ -184,3 +184,14 @@ def test_schema_check(spark, small):
     with pytest.raises(ValueError, match="trust_score"):
         check_schema(facts.drop("trust_score"), "facts")
     assert with_missing_columns(facts.drop("expired_at"), "facts").columns[0] == "fact_id"
+
+
+def test_query_vectors_beyond_one_pass(spark, monkeypatch):
+    r = random.Random(5)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)], "fact_id long, embedding array<float>")
+    q = v.where("fact_id % 5 = 0").select(F.col("fact_id").alias("query_id"), "embedding")
+    want = sorted(map(tuple, dense.top_k(v, q, 3).select("query_id", "rank", "fact_id").collect()))
+    assert len(want) == 36
+    monkeypatch.setattr(dense, "MAX_QUERIES", 5)  # three blocks
+    assert sorted(map(tuple, dense.top_k(v, q, 3).select("query_id", "rank", "fact_id").collect())) == want
+    assert dense.top_k(v, q.where("false"), 3).count() == 0
