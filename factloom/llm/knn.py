@@ -39,6 +39,8 @@ SUBSPACES = 8
 CODES = 256
 CHUNK = 8192
 TILE = 1024
+#: Bits of the filter that finds rows which may repeat a (fact, identity).
+REPEAT_BITS = 1 << 24
 #: Vectors of one block that travel in one row.
 PACK = 16
 
@@ -50,6 +52,32 @@ def usable(vectors: DataFrame) -> DataFrame:
     ).select(F.col("embedding_identity").alias("identity"), F.col("fact_id").alias("id"), "embedding", "dim")
 
 
+def repeats(rows: DataFrame):
+    """A bitmap of hash spots, with that of every (identity, id) that has several rows; its size does not grow with the table."""
+    import numpy as np
+
+    spot = F.pmod("hash", F.lit(REPEAT_BITS))
+    twice = rows.select(F.xxhash64("identity", "id").alias("hash")).groupBy("hash").count().where("count > 1")
+    words = twice.groupBy(F.shiftright(spot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(hash, {REPEAT_BITS}) % 32 as int))")).alias("bits"))
+    out = np.zeros(-(-REPEAT_BITS // 32), np.uint32)
+    for r in words.toLocalIterator(prefetchPartitions=True):
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """One usable row of each (identity, id): the first in vector order."""
+    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    return rows.where(sound).groupBy("identity", "id").agg(F.min("embedding").alias("embedding"))
+
+
+def _marked(bits, spots):
+    """Which spots are set in the bitmap."""
+    import numpy as np
+
+    return (bits[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def _unit(batch):
     """Per (identity, dim) of a batch: (identity, ids, unit vectors float32); unusable rows left out."""
     import numpy as np
@@ -211,14 +239,29 @@ def _unpacked(packs, dim: int):
     return np.concatenate(ids), planes.reshape(at, 4 * dim).view(np.float32), indexed, codes.reshape(int(indexed.sum()), -1) if len(codes) else codes
 
 
-def _visits(model, chunks: dict[tuple[str, int], int], probes: int):
-    """Packs of index rows (role 0) and of visiting queries (role 1) by block."""
+def _repeated(bits):
+    """The rows whose (identity, id) may have others."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array(_marked(bits.value, b.column("spot").to_numpy()))).select(["identity", "id", "embedding"])
+
+    return run
+
+
+def _visits(model, chunks: dict[tuple[str, int], int], probes: int, bits=None):
+    """Packs of index rows (role 0) and of visiting queries (role 1) by block; ``bits``: without the rows at these spots."""
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
 
         order = {n: i for i, n in enumerate(sorted(model.value))}
         for b in batches:
+            if bits is not None:
+                b = b.filter(pa.array(~_marked(bits.value, b.column("spot").to_numpy())))
             if not b.num_rows:
                 continue
             for name, ids, v in _unit(b):
@@ -335,7 +378,15 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int
         if any(n > CHUNK for n in sizes.values()) else []
     )  # at most MAX_CELLS rows per identity
     chunks = {(r["identity"], r["cell"]): -(-r["k"] // CHUNK) for r in crowd}
-    visits = rows.mapInArrow(_visits(model, chunks, probes), "block long, role int, ids binary, v binary, codes binary")
+    packs = "block long, role int, ids binary, v binary, codes binary"
+    bitmap = repeats(rows)
+    if bitmap.any():
+        bits = spark.sparkContext.broadcast(bitmap)
+        spotted = rows.select("identity", "id", "embedding", F.pmod(F.xxhash64("identity", "id"), F.lit(REPEAT_BITS)).alias("spot"))
+        once = _first(spotted.mapInArrow(_repeated(bits), f"identity string, id {kind}, embedding {rows.schema['embedding'].dataType.simpleString()}"))
+        visits = spotted.mapInArrow(_visits(model, chunks, probes, bits), packs).unionByName(once.mapInArrow(_visits(model, chunks, probes), packs))
+    else:
+        visits = rows.mapInArrow(_visits(model, chunks, probes), packs)
     found = visits.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(
         _blocks(model, k, rerank, least, {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind]), f"identity string, id {kind}, other {kind}, cosine double"
     )

@@ -73,3 +73,18 @@ def test_packs_lose_nothing():
     back = np.argsort(-i)
     assert indexed.all() and (i[back] == ids).all() and (x[back] == v).all() and (c[back] == codes).all()
     assert len(knn._packs(block[:0], 1, ids[:0], v[:0])) == 0
+
+
+def test_a_repeated_row_counts_once_in_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 6))
+    data = [(i, [float(a) for a in v], 6, "a", "", "") for i, v in enumerate(x)]
+    # equal repeats, others with a later vector, and an unusable one that is first in vector order
+    more = data[::3] + [(i, [v[0] + 50.0, *v[1:]], *rest) for i, v, *rest in data[1::3]] + [(i, [-9e9, float("nan"), *v[2:]], *rest) for i, v, *rest in data[2::30]]
+    monkeypatch.setattr(knn, "VECTORS_A_CELL", 20)  # 6 to 12 cells
+    df = spark.createDataFrame(data + more, SCHEMA)
+    got = sorted((r["id"], r["rank"], r["other"]) for r in neighbours(df, probes=99, rerank=99).collect())
+    x = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert got == [(i, k + 1, int(j)) for i in range(120) for k, j in enumerate(np.argsort(-s[i])[:5])]
