@@ -18,9 +18,10 @@ a hot slot.
 
 Defined cases: rows without subject, predicate, value, identifier or instant
 are no statements; a null scope is a scope of its own; statements superseded
-by another statement of the same slot and instant are ignored; ties at an
-instant go in order of identifier; repeated rows count once; versions without
-an end have an empty ``valid_to``; an empty table gives an empty history.
+by another statement of the same slot and instant are ignored from the first
+snapshot on that holds the other one; ties at an instant go in order of
+identifier; repeated rows count once; versions without an end have an empty
+``valid_to``; an empty table gives an empty history.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _OPEN = 1 << 62
 
 
 def statements(facts: DataFrame) -> DataFrame:
-    """(s1, s2, at, fact_id, v, until, recorded): compact statements, superseded ones of one instant left out."""
+    """(s1, s2, at, fact_id, v, until, recorded, gone): compact statements; gone: when one that replaces it at its instant was recorded."""
     blank = F.regexp_replace(F.col("object_value"), r"\s+", " ")
     value = F.replace(F.lower(F.trim(blank)), F.lit("ß"), F.lit("ss"))
     slot = ("scope", "subject_key", "predicate_key")
@@ -52,12 +53,19 @@ def statements(facts: DataFrame) -> DataFrame:
         )
         .where("at is not null").distinct()
     )
-    replacing = rows.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("at").alias("_at"), F.col("fact_id").alias("_id"))
+    replacing = rows.groupBy(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("at").alias("_at"), F.col("fact_id").alias("_id")).agg(F.min("recorded").alias("gone"))
     maybe = rows.where("superseded_by is not null and superseded_by != fact_id")
-    kept = maybe.join(
-        replacing, (F.col("superseded_by") == F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("at") == F.col("_at")), "left_anti"
+    dated = maybe.join(
+        replacing, (F.col("superseded_by") == F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("at") == F.col("_at")), "left"
     )
-    return rows.where("superseded_by is null or superseded_by = fact_id").unionByName(kept).drop("superseded_by")
+    sole = rows.where("superseded_by is null or superseded_by = fact_id").withColumn("gone", F.lit(None).cast("long"))
+    return sole.unionByName(dated.select(*sole.columns)).drop("superseded_by")
+
+
+def snapshot(every: DataFrame, cutoff: int | None) -> DataFrame:
+    """The statements recorded by a cutoff and not replaced by then; all that stand without one."""
+    stands = F.col("gone").isNull()
+    return (every.where(stands) if cutoff is None else every.where((F.col("recorded") <= cutoff) & (stands | (F.col("gone") > cutoff)))).drop("gone")
 
 
 def _fold(batches):
@@ -153,10 +161,10 @@ def build(facts: DataFrame, cutoffs: list[int], hot_rows: int = HOT_ROWS) -> Dat
     total = every.count()
     depth = depth_for(total)
     history: DataFrame | None = None
-    previous = every.where(F.lit(False))
+    previous = snapshot(every, None).where(F.lit(False))
     tree = levels(leaves(previous, "s1", depth), depth)
     for i, cutoff in enumerate([*cutoffs, None]):
-        now = every if cutoff is None else every.where(F.col("recorded") <= cutoff)
+        now = snapshot(every, cutoff)
         digests = cut(leaves(now, "s1", depth), "leaves")
         new_tree = levels(digests, depth)
         if history is None:

@@ -90,6 +90,22 @@ def test_snapshots_keep_replaced_versions(spark):
     assert h == {(1, "", 0, 1), (1, text(BASE + 60), 1, None), (2, "", 1, None), (3, "", 0, None)}
 
 
+def test_a_statement_replaced_later_stood_before(spark):
+    slot = {"scope": "work", "subject_key": "a", "predicate_key": "p", "valid_from": text(BASE)}
+    rows = [
+        slot | {"fact_id": 1, "object_value": "x", "created_at": text(BASE), "superseded_by": 2},
+        slot | {"fact_id": 2, "object_value": "y", "created_at": text(BASE + 7200)},
+        slot | {"fact_id": 3, "subject_key": "b", "object_value": "x", "created_at": text(BASE), "superseded_by": 4},
+        slot | {"fact_id": 4, "subject_key": "b", "object_value": "y", "created_at": text(BASE + 60)},
+    ]
+    df = make(spark, rows + rows[:1])
+    h = {(r["fact_id"], r["valid_to"], r["since"], r["replaced"]) for r in build(df, [BASE + 3600]).collect()}
+    assert h == {(1, "", 0, 1), (2, "", 1, None), (4, "", 0, None)}
+    h = {(r["fact_id"], r["valid_to"], r["since"], r["replaced"]) for r in build(df, [BASE, BASE + 3600]).collect()}
+    assert h == {(1, "", 0, 2), (2, "", 2, None), (3, "", 0, 1), (4, "", 1, None)}
+    assert got(current_versions(df)) == {(2, text(BASE), ""), (4, text(BASE), "")}
+
+
 def test_empty_and_no_statements(spark):
     assert current_versions(make(spark, [])).count() == 0
     assert current_versions(make(spark, [{"fact_id": 1, "subject_key": "a"}])).count() == 0
