@@ -147,6 +147,16 @@ def fold(rows: DataFrame, cut: Cut, hot_rows: int = HOT_ROWS) -> DataFrame:
     return cold.unionByName(out.select(*done))
 
 
+def moved_slots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(s1, s2): slots with a row that only one of two snapshots holds; nulls are equal."""
+
+    def only(a: DataFrame, b: DataFrame) -> DataFrame:
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in a.columns]
+        return a.alias("a").join(b.alias("b"), same, "left_anti").select("s1", "s2")
+
+    return only(after, before).unionByName(only(before, after)).distinct()
+
+
 def build(facts: DataFrame, cutoffs: list[int], hot_rows: int = HOT_ROWS) -> DataFrame:
     """(fact_id, valid_from, valid_to, since, replaced): all versions believed at any snapshot.
 
@@ -175,8 +185,7 @@ def build(facts: DataFrame, cutoffs: list[int], hot_rows: int = HOT_ROWS) -> Dat
             here = F.shiftrightunsigned("s1", 64 - 4 * depth)
             part = now.withColumn("node", here).join(changed, "node", "left_semi").drop("node")
             before = previous.withColumn("node", here).join(changed, "node", "left_semi").drop("node")
-            moved = part.join(before, before.columns, "left_anti").select("s1", "s2").unionByName(before.join(part, before.columns, "left_anti").select("s1", "s2")).distinct()
-            moved = cut(moved, "slots")
+            moved = cut(moved_slots(before, part), "slots")
             fresh = fold(part.join(moved, ["s1", "s2"], "left_semi"), cut, hot_rows).withColumns({"since": F.lit(i), "replaced": F.lit(None).cast("int")})
             fresh = cut(fresh, "fresh")
             same = ["s1", "s2", "fact_id", "start", "v", "stop"]

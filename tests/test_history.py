@@ -4,7 +4,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
-from factloom.operators.history import build, current_versions, snapshot_cutoffs
+from factloom.operators.history import build, current_versions, moved_slots, snapshot, snapshot_cutoffs, statements
 from factloom.operators.merkle import differing_leaves, leaves, levels
 from factloom.sources.schemas import DDL
 
@@ -106,6 +106,18 @@ def test_a_statement_replaced_later_stood_before(spark):
     assert got(current_versions(df)) == {(2, text(BASE), ""), (4, text(BASE), "")}
 
 
+def test_only_slots_with_changed_rows_move(spark):
+    rows = [
+        {"fact_id": i, "subject_key": f"s{i}", "predicate_key": "p", "object_value": "x", "valid_from": text(BASE), "created_at": text(BASE), "valid_to": text(BASE + 60) if i % 2 else None}
+        for i in range(6)
+    ]
+    every = statements(make(spark, rows + [rows[2] | {"fact_id": 9, "created_at": text(BASE + 7200)}]))
+    before, after = snapshot(every, BASE + 3600), snapshot(every, None)
+    want = after.where("fact_id = 9").select("s1", "s2").collect()
+    assert moved_slots(before, after).collect() == want == moved_slots(after, before).collect()
+    assert moved_slots(after, after).count() == 0
+
+
 def test_empty_and_no_statements(spark):
     assert current_versions(make(spark, [])).count() == 0
     assert current_versions(make(spark, [{"fact_id": 1, "subject_key": "a"}])).count() == 0
