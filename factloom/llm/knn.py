@@ -295,7 +295,7 @@ def _visits(model, chunks: dict[tuple[str, int], int], probes: int, bits=None):
 
 
 def _search(x_ids, x, codes, q_ids, q, centroid, books, k: int, rerank: int, least: float):
-    """The k best of one block for every query: asymmetric tables, then exact products."""
+    """The k best of one block for every query: asymmetric tables, then exact products. ``x_ids`` ascend: ties go to the smaller."""
     import numpy as np
 
     cuts = np.cumsum([b.shape[1] for b in books])[:-1]
@@ -309,6 +309,12 @@ def _search(x_ids, x, codes, q_ids, q, centroid, books, k: int, rerank: int, lea
             approx += np.take(parts[m] @ book.T, codes[:, m], axis=1)  # the table of subspace m, looked up
         approx += (qq @ centroid)[:, None]
         top = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < len(x_ids) else np.tile(np.arange(r), (len(qq), 1))
+        if r < len(x_ids):
+            bar = np.take_along_axis(approx, top, 1).min(axis=1)
+            for b in np.flatnonzero((approx >= bar[:, None]).sum(axis=1) > r):  # more rows at the bar than there is room for
+                over = np.flatnonzero(approx[b] > bar[b])
+                top[b] = np.r_[over, np.flatnonzero(approx[b] == bar[b])[: r - len(over)]]
+            top.sort(axis=1)
         sim = np.einsum("brd,bd->br", x[top], qq)
         sim[x_ids[top] == qi[:, None]] = -2.0
         best = np.argsort(-sim, axis=1, kind="stable")[:, :k]

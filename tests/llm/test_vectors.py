@@ -88,3 +88,14 @@ def test_a_repeated_row_counts_once_in_every_cell(spark, monkeypatch):
     s = x @ x.T
     np.fill_diagonal(s, -2)
     assert got == [(i, k + 1, int(j)) for i in range(120) for k, j in enumerate(np.argsort(-s[i])[:5])]
+
+
+def test_many_equal_vectors_go_to_the_smaller_identifiers(spark):
+    rng = np.random.default_rng(6)
+    same, other = [float(a) for a in rng.normal(size=8)], rng.normal(size=(140, 8))
+    data = [(i, same if i % 3 else [float(a) for a in other[i // 3]], 8, "a", "", "") for i in rng.permutation(400).tolist()]
+    got = {}
+    for r in neighbours(spark.createDataFrame(data, SCHEMA)).where("id % 3 != 0").collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"]))
+    copies = [i for i in range(400) if i % 3]
+    assert {i: [o for _, o in sorted(v)] for i, v in got.items()} == {i: [j for j in copies[:6] if j != i][:5] for i in copies}
