@@ -90,7 +90,12 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     assert got() == brute(rows)
     assert got(num=8, ngram=2) == brute(rows, 8, 10, 2)
     monkeypatch.setattr(neardup, "CHUNK", 8)  # every frequent word is cut into chunks
-    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "STEP", 64)
+    assert got() == brute(rows)
+    plain = neardup.similar_pairs
+    monkeypatch.setattr(neardup, "similar_pairs", lambda *a: plain(*a, hot_list=2))  # the list of cut columns is joined
+    assert got() == brute(rows)
+    monkeypatch.setattr(neardup, "LONG", 12)  # longer rows send no rest
     assert got() == brute(rows)
 
 
