@@ -29,18 +29,24 @@ def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redacted(*_texts(spark, sf))
 
 
+def _key(spark: SparkSession) -> str:
+    """The session's secret; without one, a word that only shows how the queries work."""
+    return spark.conf.get("spark.factloom.pii.key", None) or "demonstration"
+
+
 def p1_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct mention with its surrogate."""
-    from .pii import mentions, surrogates
+    from .pii import genders, mentions, surrogates
 
-    return surrogates(mentions(*_texts(spark, sf)))
+    texts, lex = _texts(spark, sf)
+    return surrogates(mentions(texts, lex), lex, _key(spark), genders(texts, lex))
 
 
 def p1_pseudonymised(spark: SparkSession, sf: str) -> DataFrame:
     """Every text with surrogates."""
     from .pii import pseudonymised
 
-    return pseudonymised(*_texts(spark, sf))
+    return pseudonymised(*_texts(spark, sf), _key(spark))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
