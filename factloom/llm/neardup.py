@@ -70,7 +70,12 @@ def _incidence(ngram: int):
         import xxhash
 
         word = re.compile(r"[^\W_]+")
-        memo: dict[str, int] = {}
+        class Memo(dict):
+            def __missing__(self, x):
+                h = self[x] = xxhash.xxh64_intdigest(x) & 0xFFFFFFFF
+                return h
+
+        memo = Memo()
         for b in batches:
             ids, k1, k2, cols = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -83,12 +88,7 @@ def _incidence(ngram: int):
                     w = [" ".join(w[j : j + ngram]) for j in range(max(1, len(w) - ngram + 1))]
                 if len(memo) > 500_000:
                     memo.clear()
-                fp = set()
-                for x in set(w):
-                    h = memo.get(x)
-                    if h is None:
-                        h = memo[x] = xxhash.xxh64_intdigest(x) & 0xFFFFFFFF
-                    fp.add(h)
+                fp = {memo[x] for x in w}
                 a = np.sort(np.fromiter(fp, np.uint32, len(fp)))
                 d = xxhash.xxh128_intdigest(a.tobytes())
                 ids.append(i)
@@ -263,10 +263,15 @@ def _block_pairs(block, rep, meta, length, cells, num: int, den: int):
     block, rep, size, pos, side = block[order], rep[order], size[order], pos[order], side[order]
     left = size - pos  # what an overlap can still reach, the block's column included
     open_ = length != left - 1  # sent no rest
+    # left >= need, for both ends of a pair, without a division: (num + den) left >= num (both sizes)
+    weight = (num * size).astype(np.int32)
+    slack = ((num + den) * left).astype(np.int32) - weight
+    cut_up = bool(side.any())
     both = (block << 24) | size
-    end = np.searchsorted(both, (block << 24) | np.minimum(size * den // num, 0xFFFFFF), side="right")
-    small = pos < size - -(-2 * num * size // (num + den)) + 1
-    count = np.where(small, end - np.arange(len(rep)) - 1, 0)
+    # the largest size that the smaller row reaches, by the ratio of sizes and by what it has left
+    most = np.minimum(np.minimum(size * den // num, slack // num), 0xFFFFFF)
+    end = np.searchsorted(both, (block << 24) | np.maximum(most, 0), side="right")
+    count = np.where(slack >= weight, end - np.arange(len(rep)) - 1, 0)
     rows = np.flatnonzero(count > 0)
     upto = np.cumsum(count[rows])
     out = []
@@ -277,11 +282,12 @@ def _block_pairs(block, rep, meta, length, cells, num: int, den: int):
         r = rows[done:stop]
         done = stop
         k = count[r]
-        x = np.repeat(r, k)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
+        y = np.arange(int(k.sum())) + np.repeat(r + 1 - np.cumsum(k) + k, k)
+        ok = slack[y] >= np.repeat(weight[r], k)
+        if cut_up:
+            ok &= (np.repeat(side[r], k) == 0) | (np.repeat(side[r], k) != side[y])
+        x, y = np.repeat(r, k)[ok], y[ok]
         need = -(-num * (size[x] + size[y]) // (num + den))
-        ok = (left[x] >= need) & (left[y] >= need) & ((side[x] == 0) | (side[x] != side[y]))
-        x, y, need = x[ok], y[ok], need[ok]
         far = np.bitwise_count(sig[0][x] ^ sig[0][y]).astype(np.int64) + np.bitwise_count(sig[1][x] ^ sig[1][y])
         known = ~(open_[x] | open_[y])
         ok = ~known | (far <= length[x] + length[y] - 2 * (need - 1))
