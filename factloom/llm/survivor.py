@@ -1,15 +1,22 @@
 """Problem 6: one surviving record for each set of copies, field by field.
 
-Fields are unpivoted to long rows (set, field, value, vote); votes are summed
-per normalised value; ``max_by`` chooses each field's winner; the winners are
-pivoted back to one row per set. Every step is an algebraic aggregate, so a
-set that holds a third of all rows is combined before the shuffle and never
-gathered.
+Fields are unpivoted to long rows (set, field, normalised value, vote); votes
+are summed per normalised value; ``max_by`` chooses each field's winner; the
+winners are pivoted back to one row per set. Every step is an algebraic
+aggregate, so a set that holds a third of all rows is combined before the
+shuffle and never gathered.
 
 A vote is a source's trust times the decay of its age, ``trust * 0.5 ** (age /
-half_life)``, unless a rule names its own. Winners' ties go to the earliest
-``created_at``, then the smallest identifier. A null created_at counts as the
-oldest for the decay and comes last at ties.
+half_life)``. Values with more votes win, unless the rule measures its values:
+then the greatest measure wins and votes decide among equals. Further ties go
+to the value whose first bearer is the earliest by ``created_at``, then the
+smallest identifier; that first bearer is the value's carrier. A rule with
+``every`` keeps all values that got a row.
+
+Defined cases: a null value casts no vote; a null trust counts as 0; a null
+``created_at`` counts as the oldest for the decay and comes last at ties; a set
+without any value of a field gets null, or an empty text where all are kept; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,49 +32,69 @@ from ..functions.times import instant
 HALF_LIFE_DAYS = 180.0
 #: Sorts after every instant in use (year 9999), in seconds.
 NEVER = 253402300799
+_CELLS = "array<struct<field: string, value: string, norm: string, measure: double>>"
 
 
 @dataclass(frozen=True)
 class Rule:
     """How one field of the survivor is chosen.
 
-    value: the candidate value (null casts no vote); norm: the form under which
-    votes are summed; vote: the vote's weight, by default trust times decay.
+    value: the candidate value, or an array of them; norm: the form under which
+    votes are summed; measure: what ranks the values before their votes;
+    carrier: whether the winner is the identifier that bears the value;
+    every: whether all values are kept, sorted and joined by commas.
     """
 
     field: str
     value: Column
     norm: Callable[[Column], Column] = lambda c: F.lower(F.trim(c))
-    vote: Column | None = None
+    measure: Column | None = None
+    carrier: bool = False
+    every: bool = False
 
 
-def trust_decay(now: Column, half_life_days: float = HALF_LIFE_DAYS) -> Column:
-    """Trust times recency: the default vote of a member row."""
-    age = F.greatest(F.lit(0.0), (now - F.coalesce(F.col("_at"), F.lit(0))).cast("double") / 86400.0)
+def latest(facts: DataFrame) -> int:
+    """The latest instant of creation, in seconds; 0 for none."""
+    return facts.agg(F.max(instant(F.col("created_at")))).first()[0] or 0
+
+
+def trust_decay(now: int, half_life_days: float = HALF_LIFE_DAYS) -> Column:
+    """Trust times recency: the vote of a member row."""
+    age = F.greatest(F.lit(0.0), (F.lit(now) - F.coalesce(F.col("_at"), F.lit(0))).cast("double") / 86400.0)
     return F.coalesce(F.col("trust_score"), F.lit(0.0)) * F.pow(F.lit(0.5), age / F.lit(half_life_days))
 
 
-def elect(rows: DataFrame, rules: list[Rule], group: str = "first", ident: str = "fact_id", now: Column | None = None) -> DataFrame:
-    """(group, one string column per rule): the winners of every set.
+def votes(rows: DataFrame, rules: list[Rule], now: int, group: str = "first", ident: str = "fact_id") -> DataFrame:
+    """(group, field, norm, votes, measure, value, carrier, tie): the votes of every normalised value of every set.
 
     ``rows``: members with ``group``, ``ident``, ``trust_score`` and ``created_at``.
     """
-    at = instant(F.col("created_at"))
-    base = rows.withColumn("_at", at)
-    default = trust_decay(now if now is not None else F.lit(NEVER))
-    long = base.select(
-        F.col(group), F.col(ident).alias("_id"), F.coalesce("_at", F.lit(NEVER)).alias("_tie"),
-        F.explode(F.array(*[
-            F.struct(F.lit(r.field).alias("field"), r.value.cast("string").alias("value"), r.norm(r.value.cast("string")).alias("norm"),
-                     (default if r.vote is None else r.vote).cast("double").alias("vote"))
-            for r in rules
-        ])).alias("x"),
-    ).select(group, "_id", "_tie", "x.*").where(F.col("norm").isNotNull())
-    votes = long.groupBy(group, "field", "norm").agg(
-        F.sum("vote").alias("votes"), F.min_by("value", F.struct("_tie", "_id")).alias("value"), F.min(F.struct("_tie", "_id")).alias("tie")
+    base = rows.withColumn("_at", instant(F.col("created_at"))).withColumn("_vote", trust_decay(now))
+
+    def cell(r: Rule, value: Column) -> Column:
+        measure = F.lit(None) if r.measure is None else r.measure
+        return F.struct(F.lit(r.field).alias("field"), value.cast("string").alias("value"), r.norm(value.cast("string")).alias("norm"), measure.cast("double").alias("measure"))
+
+    single = F.array(*[cell(r, r.value) for r in rules if not r.every])
+    many = [F.transform(r.value, (lambda rule: lambda v: cell(rule, v))(r)) for r in rules if r.every]
+    cells = F.concat(single, *[F.coalesce(m, F.array().cast(_CELLS)) for m in many]) if many else single
+    long = base.select(F.col(group), F.col(ident).alias("_id"), F.coalesce("_at", F.lit(NEVER)).alias("_tie"), "_vote", F.explode(cells).alias("x"))
+    long = long.select(group, "_id", "_tie", "_vote", "x.*").where(F.col("norm").isNotNull())
+    first = F.struct("_tie", "_id")
+    return long.groupBy(group, "field", "norm").agg(
+        F.sum("_vote").alias("votes"), F.max("measure").alias("measure"), F.min_by("value", first).alias("value"), F.min(first).alias("tie")
     )
-    rank = F.struct("votes", (-F.col("tie._tie")).alias("a"), (-F.col("tie._id")).alias("b"))
-    won = votes.groupBy(group, "field").agg(F.max_by("value", rank).alias("value"))
+
+
+def elect(rows: DataFrame, rules: list[Rule], now: int, group: str = "first", ident: str = "fact_id") -> DataFrame:
+    """(group, one string column per rule): the winners of every set."""
+    every = [r.field for r in rules if r.every]
+    carriers = [r.field for r in rules if r.carrier]
+    rank = F.struct(F.coalesce("measure", "votes").alias("m"), "votes", (-F.col("tie._tie")).alias("a"), (-F.col("tie._id")).alias("b"))
+    shown = F.when(F.col("field").isin(carriers), F.col("tie._id").cast("string")).otherwise(F.col("value"))
+    kept = F.array_join(F.sort_array(F.collect_list(F.when(F.col("field").isin(every), F.col("norm")))), ",")
+    won = votes(rows, rules, now, group, ident).groupBy(group, "field").agg(F.max_by(shown, rank).alias("best"), kept.alias("kept"))
+    won = won.select(group, "field", F.when(F.col("field").isin(every), F.col("kept")).otherwise(F.col("best")).alias("value"))
     return won.groupBy(group).pivot("field", [r.field for r in rules]).agg(F.first("value"))
 
 
@@ -76,47 +103,36 @@ def tag_values(tags: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(tags, ","), lambda t: F.lower(F.trim(F.regexp_replace(t, r"^\s+|\s+$", "")))), lambda t: t != ""))
 
 
-def merged_tags(rows: DataFrame, group: str = "first") -> DataFrame:
-    """(group, merged_tags): the sorted union of all members' tags; an empty string where there are none.
-
-    Tags are made distinct before they are gathered, so a list is as long as
-    the set's tag vocabulary, not as its copies.
-    """
-    long = rows.select(group, F.explode(tag_values(F.col("tags"))).alias("tag")).distinct()
-    return long.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("merged_tags"))
-
-
 def survivors(members: DataFrame, facts: DataFrame) -> DataFrame:
     """p6_found: each set's survivor, newest member and merged tags.
 
-    The fields ``survivor_fact_id`` and ``newest_fact_id`` are elections whose
-    values are the member identifiers themselves; the votes are trust times
-    retrieval count and the instant of creation.
+    Three fields are elected: trust times retrieval count, measured by itself,
+    whose carrier survives; the instant of creation, measured by itself, whose
+    carrier is the newest; and the tags, of which every voted one is kept.
     """
     rows = members.join(facts.select("fact_id", "trust_score", "retrieval_count", "created_at", "tags"), "fact_id")
-    weight = F.coalesce(F.col("trust_score"), F.lit(0.0)) * F.coalesce(F.col("retrieval_count"), F.lit(0))
-    born = F.coalesce(F.col("_at"), F.lit(-NEVER)).cast("double")
+    worth = F.coalesce(F.col("trust_score"), F.lit(0.0)) * F.coalesce(F.col("retrieval_count"), F.lit(0)) + F.lit(0.0)
+    born = F.coalesce(F.col("_at"), F.lit(-NEVER))
     rules = [
-        Rule("survivor_fact_id", F.col("fact_id"), vote=weight),
-        Rule("newest_fact_id", F.col("fact_id"), vote=born),
+        Rule("survivor_fact_id", worth, measure=worth, carrier=True),
+        Rule("newest_fact_id", born, measure=born, carrier=True),
+        Rule("merged_tags", tag_values(F.col("tags")), every=True),
     ]
-    won = elect(rows, rules)
-    tags = merged_tags(rows)
-    return won.join(tags, "first", "left").select(
-        F.col("first").alias("first_fact_id"), F.col("survivor_fact_id").cast("long"), F.col("newest_fact_id").cast("long"),
-        F.coalesce("merged_tags", F.lit("")).alias("merged_tags"),
+    won = elect(rows, rules, latest(facts))
+    return won.select(
+        F.col("first").alias("first_fact_id"), F.col("survivor_fact_id").cast("long"), F.col("newest_fact_id").cast("long"), F.coalesce("merged_tags", F.lit("")).alias("merged_tags")
     )
 
 
+#: Descriptive fields that ``golden`` elects.
+FIELDS = ("category", "scope", "sensitivity", "memory_kind", "subject_key", "predicate_key", "object_value")
+
+
 def golden(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """The default election over category, scope, trust, memory kind and subject, with copies counted.
+    """(first_fact_id, one column per descriptive field): the best value of each field by votes.
 
     Missing values cast no vote, so the most complete, trusted and recent
     values win field by field.
     """
-    cols = ["category", "scope", "sensitivity", "memory_kind", "subject_key", "predicate_key", "object_value"]
-    rows = members.join(facts.select("fact_id", "trust_score", "created_at", *cols), "fact_id")
-    newest = facts.agg(F.max(instant(F.col("created_at"))).alias("_now"))
-    rows = rows.crossJoin(F.broadcast(newest))  # one row: the table's latest instant
-    won = elect(rows, [Rule(c, F.col(c)) for c in cols], now=F.coalesce(F.col("_now"), F.lit(NEVER)))
-    return won.withColumnRenamed("first", "first_fact_id")
+    rows = members.join(facts.select("fact_id", "trust_score", "created_at", *FIELDS), "fact_id")
+    return elect(rows, [Rule(c, F.col(c)) for c in FIELDS], latest(facts)).withColumnRenamed("first", "first_fact_id")

@@ -123,3 +123,40 @@ def test_survivors(spark):
     assert {tuple(r) for r in survivors(m, f).collect()} == {(1, 2, 1, "a,b,c"), (4, 4, 4, ""), (6, 6, 6, "z")}
     assert {r["first_fact_id"]: r["category"] for r in golden(m, f).collect()}.get(1) == "x"
     assert survivors(m.where("false"), f).count() == 0
+
+
+def test_golden_equals_brute_force(spark):
+    from collections import defaultdict
+
+    from factloom.llm.survivor import HALF_LIFE_DAYS, latest
+
+    r = random.Random(4)
+    day = [f"2025-{m:02d}-{d:02d}T00:00:00Z" for m in (1, 3, 6) for d in (1, 9)]
+    rows = [(i, r.choice([None, 0.2, 0.5, 0.9]), r.randrange(5), r.choice([None, *day]), None, r.choice([None, "Ops", "ops ", "infra", "x"]), r.choice([None, "a", "b"]), *(None,) * 5) for i in range(120)]
+    f = spark.createDataFrame(rows, "fact_id long, trust_score double, retrieval_count long, created_at string, tags string, category string, scope string, sensitivity string, memory_kind string, subject_key string, predicate_key string, object_value string")
+    sets = {i: i % 17 for i in range(120)}
+    m = spark.createDataFrame([(s, i) for i, s in sets.items()], "first long, fact_id long")
+    import datetime as dt
+
+    seconds = lambda t: None if t is None else int(dt.datetime.fromisoformat(t).timestamp())
+    now = latest(f)
+    assert now == max(seconds(x[3]) for x in rows if x[3])
+    want = defaultdict(dict)
+    for column, name in ((5, "category"), (6, "scope")):
+        votes, tie, value = defaultdict(float), {}, {}
+        for row in rows:
+            if row[column] is not None:
+                k = (sets[row[0]], row[column].strip().lower())
+                at = seconds(row[3])
+                votes[k] += (row[1] or 0) * 0.5 ** (max(0, now - (at or 0)) / 86400 / HALF_LIFE_DAYS)
+                t = (at if at is not None else 253402300799, row[0])
+                if k not in tie or t < tie[k]:
+                    tie[k], value[k] = t, row[column]
+        for s, norm in votes:
+            best = want[s].get(name)
+            rank = (round(votes[s, norm], 9), -tie[s, norm][0], -tie[s, norm][1])
+            if best is None or rank > best[0]:
+                want[s][name] = (rank, value[s, norm])
+    for row in golden(m, f).collect():
+        for name in ("category", "scope"):
+            assert row[name] == want[row["first_fact_id"]].get(name, (0, None))[1]
