@@ -10,11 +10,13 @@ of snapshots. Versions of unchanged slots stay.
 The fold is sequential within a slot: a version lasts over consecutive
 statements of equal value and ends at the next version's start or the earliest
 ``valid_to`` of its statements, whichever is earlier; a statement at or after
-that end starts a new version. It streams over sorted rows with one state. A
-slot with more than ``HOT_ROWS`` rows is split into epochs by its own
-quantiles of time; epochs fold in parallel, and those whose incoming state
-turns out different are folded again until all states agree, so no task holds
-a hot slot.
+that end starts a new version. It runs over batches of sorted rows in numpy and
+keeps one state between them; only runs of a value in which a ``valid_to``
+occurs are walked row by row. A slot with more than ``HOT_ROWS`` rows is split
+into epochs of about that many by its own quantiles of time. Epochs fold in
+parallel; a value that lasts through several is carried over all of them at
+once, and epochs whose incoming state turns out different are folded again
+until all states agree, so no task holds a hot slot.
 
 Defined cases: rows without subject, predicate, value, identifier or instant
 are no statements; a null scope is a scope of its own; statements superseded
@@ -34,8 +36,8 @@ from ..runtime import Cut, partitions, ship
 from .merkle import depth_for, differing_leaves, leaves, levels
 
 HOT_ROWS = 100_000
-#: At most this many slots are hot: the threshold rises with the table.
-HOT_SLOTS = 500
+#: So many hot slots may be broadcast; more are joined as Spark sees fit.
+HOT_LIST = 20_000
 _OPEN = 1 << 62
 
 
@@ -68,33 +70,58 @@ def snapshot(every: DataFrame, cutoff: int | None) -> DataFrame:
     return (every.where(stands) if cutoff is None else every.where((F.col("recorded") <= cutoff) & (stands | (F.col("gone") > cutoff)))).drop("gone")
 
 
+def _split(at, until, starts, stops) -> list[int]:
+    """Where a new version begins inside runs of one value, as an earlier end has passed."""
+    out = []
+    for a, b in zip(starts, stops, strict=True):
+        end = until[a]
+        for i in range(a + 1, b):
+            if at[i] >= end:
+                out.append(i)
+                end = until[i]
+            else:
+                end = min(end, until[i])
+    return out
+
+
 def _fold(batches):
-    """Sorted rows (s1, s2, epoch, kind, at, fact_id, v, until, start) to versions; kind 0 carries a state in."""
+    """Sorted rows (s1, s2, epoch, kind, at, fact_id, v, until) to versions; kind 0 is a state carried in, which reads like a statement."""
+    import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("epoch", pa.int32()), ("fact_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("v", pa.int64()), ("last", pa.bool_())])
-    key = state = None  # state: [fact_id, start, end so far, value]
+    names = ["s1", "s2", "epoch", "at", "fact_id", "v", "until"]
+
+    def rows_of(b):
+        return {n: b.column(n).fill_null(_OPEN).to_numpy() if n == "until" else b.column(n).to_numpy() for n in names}
+
+    def emit(c, at, stop, last):
+        arrays = [c["s1"][at], c["s2"][at], c["epoch"][at], c["fact_id"][at], c["at"][at], stop, c["v"][at], last]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["s1", "s2", "epoch", "fact_id", "start", "stop", "v", "last"])
+
+    open_ = None  # the version that may go on: one row of each column
     for b in batches:
-        out: list[tuple] = []
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for s1, s2, epoch, kind, at, fact, v, until, start in zip(*cols, strict=True):
-            if (s1, s2, epoch) != key:
-                if state:
-                    out.append((*key, state[0], state[1], state[2], state[3], True))
-                key, state = (s1, s2, epoch), None
-            end = _OPEN if until is None else until
-            if kind == 0:
-                state = [fact, start, end, v]
-            elif state and v == state[3] and at < state[2]:
-                state[2] = min(state[2], end)
-            else:
-                if state:
-                    out.append((*key, state[0], state[1], min(state[2], at), state[3], False))
-                state = [fact, at, end, v]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-    if state:
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*key, state[0], state[1], state[2], state[3], True), schema, strict=True)], schema=schema)
+        if not b.num_rows:
+            continue
+        c = rows_of(b)
+        if open_:
+            c = {n: np.concatenate([open_[n], c[n]]) for n in names}
+        n = len(c["at"])
+        group = np.r_[True, (c["s1"][1:] != c["s1"][:-1]) | (c["s2"][1:] != c["s2"][:-1]) | (c["epoch"][1:] != c["epoch"][:-1])]
+        run = group | np.r_[True, c["v"][1:] != c["v"][:-1]]
+        first = np.flatnonzero(run)
+        after = np.r_[first[1:], n]
+        ended = (np.minimum.reduceat(c["until"], first) < _OPEN) & (after - first > 1)
+        run[_split(c["at"].tolist(), c["until"].tolist(), first[ended].tolist(), after[ended].tolist()) if ended.any() else []] = True
+        first = np.flatnonzero(run)
+        stop = np.minimum.reduceat(c["until"], first)
+        last = np.r_[group[first[1:]], True]
+        stop[:-1] = np.where(last[:-1], stop[:-1], np.minimum(stop[:-1], c["at"][first[1:]]))
+        tail = first[-1:]
+        open_ = {k: c[k][tail] for k in names} | {"until": stop[-1:]}
+        if len(first) > 1:
+            yield emit(c, first[:-1], stop[:-1], last[:-1])
+    if open_:
+        yield emit(open_, np.array([0]), open_["until"], np.array([True]))
 
 
 _SCHEMA = "s1 long, s2 long, epoch int, fact_id long, start long, stop long, v long, last boolean"
@@ -102,44 +129,46 @@ _SUB = ["s1", "s2", "epoch"]
 
 
 def _run(rows: DataFrame) -> DataFrame:
-    cols = [*_SUB, "kind", "at", "fact_id", "v", "until", "start"]
+    cols = [*_SUB, "kind", "at", "fact_id", "v", "until"]
     n = partitions(rows.sparkSession)
     return rows.select(*cols).repartition(n, *_SUB).sortWithinPartitions(*_SUB, "kind", "at", "fact_id").mapInArrow(_fold, _SCHEMA)
 
 
 def fold(rows: DataFrame, cut: Cut, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(s1, s2, fact_id, start, stop, v): every version of every slot; stop is null without an end."""
-    per_slot = rows.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    least = max(hot_rows, total // HOT_SLOTS)
-    hot = per_slot.where(F.col("n") > least)
-    plain = rows.withColumns({"epoch": F.lit(0), "kind": F.lit(1), "start": F.lit(None).cast("long")})
+    plain = rows.withColumns({"epoch": F.lit(0), "kind": F.lit(1)})
     end = F.when(F.col("stop") < _OPEN, F.col("stop")).alias("stop")
     done = ["s1", "s2", "fact_id", "start", end, "v"]
-    if total <= least or hot.isEmpty():
+    hot = cut(rows.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows), "hot")
+    slots, most = hot.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not slots:
         return _run(plain).select(*done)
-    hot = cut(hot, "hot")
-    marks = [i / 64 for i in range(1, 64)]
+    listed = F.broadcast if slots <= HOT_LIST else lambda df: df
+    epochs = -(-most // hot_rows)
+    marks = [i / epochs for i in range(1, epochs)]
     bounds = cut(
-        rows.join(F.broadcast(hot.select("s1", "s2")), ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.array_distinct(F.percentile_approx("at", marks, 10_000)).alias("bounds")),
+        rows.join(listed(hot.select("s1", "s2")), ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.array_distinct(F.percentile_approx("at", marks, max(10_000, 20 * epochs))).alias("bounds")),
         "bounds",
     )
-    split = plain.drop("epoch").join(F.broadcast(bounds), ["s1", "s2"], "left").withColumn(
+    split = plain.drop("epoch").join(listed(bounds), ["s1", "s2"], "left").withColumn(
         "epoch", F.coalesce(F.size(F.filter("bounds", lambda x: x <= F.col("at"))), F.lit(0)).cast("int")
     )
     cold = _run(split.where("bounds is null")).select(*done)
     hot_split = cut(split.where("bounds is not null").drop("bounds"), "epochs")
     folded = cut(_run(hot_split), "folded")
-    w = Window.partitionBy("s1", "s2").orderBy("epoch")  # at most 64 epochs a slot
+    w = Window.partitionBy("s1", "s2").orderBy("epoch")  # one row an epoch
     carried = None
     while True:
-        ends = folded.where("last").select(*_SUB, "fact_id", "start", F.col("stop").alias("until"), "v")
-        nxt = ends.withColumn("into", F.lead("epoch").over(w)).where("into is not null")
-        carry = cut(nxt.select("s1", "s2", F.col("into").alias("epoch"), "fact_id", "start", "until", "v"), "carry")
+        ends = folded.groupBy(*_SUB).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("last"), F.struct("fact_id", "start", "stop", "v"))).alias("z")).select(*_SUB, "n", "z.*")
+        # an epoch of one version that goes on with an open version of the epoch before has that one's beginning
+        goes_on = (F.col("n") == 1) & (F.col("v") == F.lag("v").over(w)) & (F.lag("stop").over(w) == _OPEN)
+        begin = F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.struct("fact_id", "start")), ignorenulls=True).over(w)
+        nxt = ends.select("s1", "s2", F.lead("epoch").over(w).alias("epoch"), begin.alias("b"), F.col("stop").alias("until"), "v").where("epoch is not null")
+        carry = cut(nxt.select("s1", "s2", "epoch", "b.fact_id", "b.start", "until", "v"), "carry")
         if carried is not None and carry.exceptAll(carried).isEmpty():
             break
         carried = carry
-        states = carry.select(*_SUB, F.lit(0).alias("kind"), F.col("start").alias("at"), "fact_id", "v", "until", "start")
+        states = carry.select(*_SUB, F.lit(0).alias("kind"), F.col("start").alias("at"), "fact_id", "v", "until")
         folded = cut(_run(hot_split.select(*states.columns).unionByName(states)), "folded")
     last_epoch = folded.groupBy("s1", "s2").agg(F.max("epoch").alias("final"))
     # a state handed to the next epoch is reported there

@@ -18,8 +18,8 @@ FANOUT_BITS = 4
 
 
 def depth_for(rows: int, per_leaf: int = 64) -> int:
-    """Levels below the root such that a leaf holds about ``per_leaf`` rows; 1 to 6."""
-    return max(1, min(6, math.ceil(math.log(max(rows, 2) / per_leaf, 1 << FANOUT_BITS)))) if rows > per_leaf else 1
+    """Levels below the root such that a leaf holds about ``per_leaf`` rows; 1 to 8 (four billion leaves)."""
+    return max(1, min(8, math.ceil(math.log(max(rows, 2) / per_leaf, 1 << FANOUT_BITS)))) if rows > per_leaf else 1
 
 
 def leaf(key_hash: Column, depth: int) -> Column:

@@ -73,6 +73,19 @@ def test_random_statements(spark):
         assert got(current_versions(df, hot_rows=20)) == plain(rows)  # split into epochs
 
 
+def test_versions_across_batches_and_epochs(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = random_facts(5)
+        long = [{"fact_id": 1000 + i, "scope": "work", "subject_key": "long", "predicate_key": "p", "object_value": "same" if i != 150 else "other", "valid_from": text(BASE + i * 60), "created_at": None, "valid_to": text(BASE + 100 * 60) if i == 20 else None, "superseded_by": None} for i in range(200)]
+        df = make(spark, rows + long)
+        assert got(current_versions(df)) == plain(rows + long)
+        assert got(current_versions(df, hot_rows=15)) == plain(rows + long)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_order_and_repeats_do_not_matter(spark):
     rows = random_facts(3, 120)
     mixed = rows + rows[:50]
