@@ -1,9 +1,14 @@
 """Problem 8: documents into containers of fixed capacity, by bulk-synchronous best fit.
 
-Sizes are integers up to the capacity, so the range-sorted documents and the
-range-sorted gaps are kept as runs: (size, how many) and (gap, which
-containers). Their number is bounded by the capacity, whatever the number of
-documents. A round is a sweep over both sorted run lists:
+Documents are dealt by a hash to shards of about ``SHARD`` containers, range-
+sorted within them, and every shard is packed on its own, on the executors and
+in parallel; the driver sees two totals. A shard's size does not grow with the
+table, so neither does a task, and what a shard may leave unused (less than one
+container in a thousand) does not add up to more.
+
+Sizes are integers up to the capacity, so a shard's sorted documents and its
+sorted gaps are kept as runs: (size, how many) and (gap, which containers). A
+round is a sweep over both sorted run lists:
 
 * every waiting size claims its successor, the tightest gap that holds it;
 * sizes that claim the same gap are served by rank, the larger first, each
@@ -14,10 +19,8 @@ documents. A round is a sweep over both sorted run lists:
 
 Sizes enter in descending bands (more than a half, a third, ... of the
 capacity), so large items are placed before small ones can spoil their gaps.
-
-The plan is a list of runs (size, first rank, count, first container). The
-documents themselves never leave the executors: they are ranked within their
-size by salted two-level counting, and each finds its container from its rank.
+The runs (size, first rank, count, first container) then place each document
+by its rank within its size.
 
 A document above the capacity is split into pieces that fill whole containers
 and a rest that is packed like any other item; no other document is split.
@@ -32,13 +35,17 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Cut, ship
+from ..runtime import Cut, partitions, ship
 
 CAPACITY = 2048
-SALTS = 32
+#: Containers of a shard, about; and rows of one at most, about, for tables of many empty items.
+SHARD = 16_384
+SHARD_ROWS = 1 << 19
+#: Containers of shard k are numbered from k * STRIDE + 1 on.
+STRIDE = 1 << 40
 
 
 def plan(sizes: dict[int, int], capacity: int = CAPACITY, first: int = 0) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -106,66 +113,80 @@ def plan(sizes: dict[int, int], capacity: int = CAPACITY, first: int = 0) -> tup
     return runs, next_free
 
 
-def pack(items: DataFrame, ident: str, size: str, capacity: int = CAPACITY) -> DataFrame:
-    """(container_id, ident, piece_no, first_unit, units) of every item of ``items`` (ident, size)."""
-    spark = items.sparkSession
-    ship(spark)
-    cut = Cut(spark, "packing")
-    kind = items.schema[ident].dataType.simpleString()
-    base = cut(items.select(F.col(ident), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"), F.pmod(F.xxhash64(ident), F.lit(SALTS)).alias("salt")), "items")
-    base = base.withColumns({"rest": F.col("n") % capacity, "whole": F.expr(f"n div {capacity}")})
-    # rows per (rest, salt): at most capacity * SALTS of them, whatever the input
-    counts = base.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("k"), F.sum("whole").alias("w")).collect()
-    by_size: dict[int, int] = {}
-    offsets: dict[tuple[int, int], int] = {}
-    whole_offsets: dict[tuple[int, int], int] = {}
-    whole = 0
-    for r in sorted(counts, key=lambda r: (r["rest"], r["salt"])):
-        key = (r["rest"], r["salt"])
-        offsets[key] = by_size.get(r["rest"], 0)
-        by_size[r["rest"]] = offsets[key] + r["k"]
-        whole_offsets[key] = whole
-        whole += r["w"]
-    runs, _ = plan({s: n for s, n in by_size.items() if s}, capacity, whole)
-    at: dict[int, tuple[list[int], list[int]]] = {}
-    for s, first, _, container in sorted(runs):
-        a, b = at.setdefault(s, ([], []))
-        a.append(first)
-        b.append(container)
-    known = spark.sparkContext.broadcast((offsets, whole_offsets, at))  # bounded by the capacity
-    w = Window.partitionBy("rest", "salt").orderBy(ident)
-    ranked = base.withColumn("r", F.row_number().over(w) - 1).withColumn("wr", F.sum("whole").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole"))
+def _packed(n, capacity: int, first: int):
+    """One shard: (container, row, piece, first unit, units) of items sorted by their rest above whole containers."""
+    import numpy as np
+
+    rest, whole = n % capacity, n // capacity
+    sizes, start, count = np.unique(rest, return_index=True, return_counts=True)
+    rank = np.arange(len(n)) - np.repeat(start, count)
+    first_whole = first + np.cumsum(whole) - whole
+    runs, _ = plan(dict(zip(sizes.tolist(), count.tolist(), strict=True)) | {0: 0}, capacity, first + int(whole.sum()))
+    container = np.zeros(len(n), np.int64)
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for s, at, _, c in sorted(runs):
+        by_size.setdefault(s, []).append((at, c))
+    for s, a, k in zip(sizes.tolist(), start.tolist(), count.tolist(), strict=True):
+        if s:
+            at, c = np.array(by_size[s]).T
+            i = np.searchsorted(at, rank[a : a + k], side="right") - 1
+            container[a : a + k] = c[i] + rank[a : a + k] - at[i]
+    # pieces: whole containers first, then the rest (or the one empty piece of an item without units)
+    reps = whole + ((rest > 0) | (n == 0))
+    row = np.repeat(np.arange(len(n)), reps)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
+    full = piece < whole[row]
+    return np.where(full, first_whole[row] + piece, container[row]), row, piece, piece * capacity, np.where(full, capacity, rest[row])
+
+
+def _shards(capacity: int):
+    """Batches sorted by (shard, rest, id) to placed pieces; one shard is held at a time."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        offsets, whole_offsets, at = known.value
-        runs_of = {s: (np.array(a), np.array(b)) for s, (a, b) in at.items()}
-        for batch in batches:
-            c = {n: batch.column(n).to_numpy() for n in ("n", "salt", "rest", "whole", "r", "wr")}
-            key = list(zip(c["rest"].tolist(), c["salt"].tolist(), strict=True))
-            rank = np.array([offsets[k] for k in key], np.int64) + c["r"]
-            first_whole = np.array([whole_offsets[k] for k in key], np.int64) + c["wr"]
-            container = np.zeros(len(rank), np.int64)
-            for s in np.unique(c["rest"]):
-                if s:
-                    here = c["rest"] == s
-                    starts, cont = runs_of[int(s)]
-                    i = np.searchsorted(starts, rank[here], side="right") - 1
-                    container[here] = cont[i] + rank[here] - starts[i]
-            # pieces: whole containers first, then the rest (or the one empty piece of an item without units)
-            reps = c["whole"] + ((c["rest"] > 0) | (c["n"] == 0))
-            row = np.repeat(np.arange(len(rank)), reps)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
-            full = piece < c["whole"][row]
-            units = np.where(full, capacity, c["rest"][row])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(full, first_whole[row] + piece, container[row])), batch.column(ident).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(units)],
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            full = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            shard = full.column("shard")[0].as_py()
+            container, row, piece, unit, units = _packed(full.column("n").to_numpy(), capacity, shard * STRIDE + 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(container), full.column("id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(unit), pa.array(units)],
                 ["container_id", "id", "piece_no", "first_unit", "units"],
             )
 
-    return ranked.mapInArrow(run, f"container_id long, id {kind}, piece_no int, first_unit long, units long").withColumnRenamed("id", ident)
+        current = None
+        for b in batches:
+            shard = b.column("shard").to_numpy()
+            if not len(shard):
+                continue
+            edges = np.flatnonzero(np.diff(shard)) + 1
+            for s, e in zip(np.r_[0, edges], np.r_[edges, len(shard)], strict=True):
+                if shard[s] != current:
+                    if held:
+                        yield flush()
+                    held, current = [], shard[s]
+                held.append(b.slice(s, e - s))
+        if held:
+            yield flush()
+
+    return run
+
+
+def pack(items: DataFrame, ident: str, size: str, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """(container_id, ident, piece_no, first_unit, units) of every item of ``items`` (ident, size)."""
+    spark = items.sparkSession
+    ship(spark)
+    cut = Cut(spark, "packing")
+    kind = items.schema[ident].dataType.simpleString()
+    base = cut(items.select(F.col(ident).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")), "items")
+    rows, units = base.agg(F.count(F.lit(1)), F.sum("n")).first()
+    shards = max(1, -(-(units or 0) // (capacity * shard)), -(-rows // SHARD_ROWS))
+    dealt = base.select("id", "n", F.pmod(F.xxhash64("id", "n"), F.lit(shards)).alias("shard"))
+    ordered = dealt.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard", F.col("n") % capacity, "id", "n")
+    return ordered.mapInArrow(_shards(capacity), f"container_id long, id {kind}, piece_no int, first_unit long, units long").withColumnRenamed("id", ident)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
