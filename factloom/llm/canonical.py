@@ -10,7 +10,7 @@ Two keys per content, both 128 bits wide:
 Contents are copies if either key agrees. The field key of a sequence, where
 it has one, stands for the sequence, so that a list and the same words without
 its punctuation meet. A sequence that parses to several field lists joins them;
-such links are closed transitively.
+such links are closed transitively over both halves of the keys.
 
 Defined cases: null contents and contents without a word belong to no set;
 repeated rows of one fact_id count once; extra columns are ignored; an empty
@@ -66,8 +66,10 @@ def copies(facts: DataFrame, ident: str = "fact_id", text: str = "content") -> t
     lists = rows.where(F.col("f1").isNotNull()).select("s1", "s2", "f1", "f2").distinct()
     by_seq = cut(lists.groupBy("s1", "s2").agg(F.min(F.struct("f1", "f2")).alias("f")), "lists")
     out = rows.drop("f1", "f2").join(by_seq, ["s1", "s2"], "left").select(ident, F.coalesce("f.f1", "s1").alias("f1"), F.coalesce("f.f2", "s2").alias("f2"))
-    links = lists.join(by_seq, ["s1", "s2"]).select(F.col("f.f1").alias("a"), F.col("f1").alias("b")).where("a != b")
+    key = F.struct(F.col("f1"), F.col("f2"))
+    links = lists.join(by_seq, ["s1", "s2"]).select(F.col("f").alias("a"), key.alias("b")).where("a != b")
     if not links.isEmpty():
-        roots = components(links, "a", "b").withColumnsRenamed({"node": "f1", "root": "_r"})
-        out = out.join(roots, "f1", "left").select(ident, F.coalesce("_r", "f1").alias("f1"), F.when(F.col("_r").isNull(), F.col("f2")).otherwise(F.lit(0)).alias("f2"))
+        roots = components(links, "a", "b").select(F.col("node").alias("_k"), F.col("root").alias("_r"))
+        keyed_out = out.withColumn("_k", key).join(roots, "_k", "left").withColumn("_k", F.coalesce("_r", "_k"))
+        out = keyed_out.select(ident, F.col("_k.f1").alias("f1"), F.col("_k.f2").alias("f2"))
     return groups(out, ["f1", "f2"], ident, total)

@@ -39,7 +39,7 @@ LOOKALIKES = {
     "ɑ": "a", "ɡ": "g", "ı": "i", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
     "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M",
 }
-# Hyphens and dashes of a hyphen's look, and quotation marks of the typewriter ones' look.
+# Hyphens and dashes of a hyphen's look.
 HYPHENS = "‐‑‒⁃−﹣－"
 # Characters that show nothing and take no room, as ranges of code points.
 INVISIBLE = [
@@ -89,27 +89,49 @@ def statement() -> str:
     for c, to in many.items():
         expr = f"replace({expr}, {_quote(c)}, {_quote(to)})"
     gone = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in INVISIBLE)
-    # Width forms first, so that composing sees plain letters; composing then may yield no new width form. A
-    # look-alike base under an accent is mapped between two compositions: NFC splits nothing, so accents that
-    # compose only after the mapping are composed by the second pass.
+    # Composed first, so that look-alikes with accents are single characters that the table maps; what composes only
+    # after the mapping, a mapped base and a separate accent, is composed by the second pass.
     expr = f"regexp_replace({expr}, '[{gone}]', '', 'g')"
     expr = f"nfc_normalize(translate(nfc_normalize({expr}), {_quote(src)}, {_quote(dst)}))"
     return f"SELECT id, {expr} AS form FROM b"
 
 
+#: Bytes of text that one statement works on, about; a longer text is a slice of its own.
+SLICE_BYTES = 16 << 20
+
+
+def _slices(batch):
+    """The batch in slices of about SLICE_BYTES of text, one row at least."""
+    at, size = 0, 0
+    for i, n in enumerate(_lengths(batch)):
+        if size and size + n > SLICE_BYTES:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def _lengths(batch) -> list[int]:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+
+
 def _run(batches):
     import duckdb
     import pyarrow as pa
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(":memory:", config={"threads": 1})
     sql = statement()
     try:
         for b in batches:
-            con.register("b", pa.Table.from_batches([b]))
-            got = con.execute(sql).to_arrow_table()
-            con.unregister("b")
             schema = pa.schema([("id", b.schema.field(0).type), ("form", pa.string())])
-            yield from got.cast(schema).to_batches()
+            for part in _slices(b):
+                con.register("b", pa.Table.from_batches([part]))
+                got = con.sql(sql).to_arrow_table()
+                con.unregister("b")
+                yield from got.cast(schema).to_batches()
     finally:
         con.close()
 

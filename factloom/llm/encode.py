@@ -2,10 +2,13 @@
 
 The rank file is read by each worker from a local path (a parameter); nothing
 is trained or downloaded. Long texts are split before encoding at places that
-no pre-token can span, which bounds the memory of one call and changes no id:
-every alternative of the pattern either starts with at most one blank or is
-white space throughout, so a step from a non-blank to a blank always ends a
-pre-token.
+no pre-token can span, which changes no id: every alternative of the pattern
+either starts with at most one blank or is white space throughout, so a step
+from a non-blank to a blank always ends a pre-token; and no alternative but the
+contractions holds characters of two of the kinds letter, number and other, so
+a step between a letter and a number does too. The memory of one call is
+bounded by ``PIECE`` and the longest run without such a step, which is one
+pre-token and cannot be split.
 
 Defined cases: null and empty texts give an empty list; strings that look like
 special tokens are ordinary text; texts are encoded whole, at any length;
@@ -27,7 +30,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts longer than this are encoded piece by piece.
 PIECE = 16_384
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _ENCODERS: dict = {}
 
 
@@ -45,7 +48,7 @@ def encoder(ranks: str = RANKS, pattern: str = PATTERN):
 
 
 def pieces(text: str, size: int = PIECE):
-    """The text in pieces of about ``size``, cut only between a non-blank and a blank."""
+    """The text in pieces of about ``size``, cut only where no pre-token goes on."""
     at = 0
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)

@@ -221,7 +221,7 @@ def _packs(block, role: int, ids, v, codes=None):
 
 
 def _unpacked(packs, dim: int):
-    """(ids, unit vectors, is an index row, codes of the index rows) of packs."""
+    """(ids, unit vectors, role of each row, codes of the index rows) of packs."""
     import zlib
 
     import numpy as np
@@ -234,9 +234,9 @@ def _unpacked(packs, dim: int):
         planes[at : at + k, :, :3] = np.frombuffer(x, np.uint8, 3 * dim * k).reshape(k, dim, 3)
         planes[at : at + k, :, 3] = np.frombuffer(zlib.decompress(x[3 * dim * k :], -15), np.uint8).reshape(k, dim)
         at += k
-    indexed = np.repeat(role == 0, n)
+    role = np.repeat(role, n)
     codes = np.frombuffer(b"".join(packs.column("codes").to_pylist()), np.uint8)
-    return np.concatenate(ids), planes.reshape(at, 4 * dim).view(np.float32), indexed, codes.reshape(int(indexed.sum()), -1) if len(codes) else codes
+    return np.concatenate(ids), planes.reshape(at, 4 * dim).view(np.float32), role, codes.reshape(int((role != 1).sum()), -1) if len(codes) else codes
 
 
 def _repeated(bits):
@@ -251,8 +251,8 @@ def _repeated(bits):
     return run
 
 
-def _visits(model, chunks: dict[tuple[str, int], int], probes: int, bits=None):
-    """Packs of index rows (role 0) and of visiting queries (role 1) by block; ``bits``: without the rows at these spots."""
+def _visits(model, chunks: dict[tuple[str, int], int], probes: int, every: int, bits=None):
+    """Packs of index rows (role 0; 2 where the row asks nothing) and of visiting queries (role 1) by block; ``bits``: without the rows at these spots."""
 
     def run(batches):
         import numpy as np
@@ -280,9 +280,12 @@ def _visits(model, chunks: dict[tuple[str, int], int], probes: int, bits=None):
                 mine = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n_chunks[home]
                 base = order[name] << 48
                 # index rows; as queries they meet their own chunk without a second copy
-                yield _packs(base | (home << 16) | mine, 0, ids, v, codes)
-                row = np.repeat(np.arange(len(v)), p)
-                cell = near.ravel()
+                asks = ids % every == 0
+                for role in (0, 2):
+                    if (of := asks if role == 0 else ~asks).any():
+                        yield _packs((base | (home << 16) | mine)[of], role, ids[of], v[of], codes[of])
+                row = np.repeat(np.flatnonzero(asks), p)
+                cell = near[asks].ravel()
                 row, cell = np.repeat(row, n_chunks[cell]), np.repeat(cell, n_chunks[cell])
                 first = np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]
                 run_start = np.flatnonzero(first)
@@ -338,13 +341,15 @@ def _blocks(model, k: int, rerank: int, least: float, kind: str):
             block = pa.Table.from_batches(held).combine_chunks()
             name = names[current >> 48]
             cent, books = model.value[name]
-            ids, vec, indexed, codes = _unpacked(block, cent.shape[1])
-            index = np.flatnonzero(indexed)
+            ids, vec, role, codes = _unpacked(block, cent.shape[1])
+            index = np.flatnonzero(role != 1)
             if not len(index):
                 return None
             _, once = np.unique(ids[index], return_index=True)
             index = index[once]
-            ask = np.r_[index, np.flatnonzero(~indexed)]
+            ask = np.r_[index[role[index] == 0], np.flatnonzero(role == 1)]
+            if not len(ask):
+                return None
             q, c, sim = _search(ids[index], vec[index], codes[once], ids[ask], vec[ask], cent[(current >> 16) & 0xFFFFFFFF], books, k, rerank, least)
             return pa.RecordBatch.from_arrays([pa.array([name] * len(q), pa.string()), pa.array(q).cast(kind), pa.array(c).cast(kind), pa.array(sim.astype(np.float64))], ["identity", "id", "other", "cosine"])
 
@@ -365,10 +370,11 @@ def _blocks(model, k: int, rerank: int, least: float, kind: str):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 6, rerank: int = 24, subspaces: int = SUBSPACES) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 6, rerank: int = 24, subspaces: int = SUBSPACES, every: int = 1) -> DataFrame:
     """(identity, id, other, cosine, rank): the k most similar vectors of each usable vector, from ``least`` on.
 
-    ``vectors``: fact_id, embedding, dim, embedding_identity.
+    ``vectors``: fact_id, embedding, dim, embedding_identity; ``every``: only the
+    vectors whose id it divides ask, against all.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -390,9 +396,9 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int
         bits = spark.sparkContext.broadcast(bitmap)
         spotted = rows.select("identity", "id", "embedding", F.pmod(F.xxhash64("identity", "id"), F.lit(REPEAT_BITS)).alias("spot"))
         once = _first(spotted.mapInArrow(_repeated(bits), f"identity string, id {kind}, embedding {rows.schema['embedding'].dataType.simpleString()}"))
-        visits = spotted.mapInArrow(_visits(model, chunks, probes, bits), packs).unionByName(once.mapInArrow(_visits(model, chunks, probes), packs))
+        visits = spotted.mapInArrow(_visits(model, chunks, probes, every, bits), packs).unionByName(once.mapInArrow(_visits(model, chunks, probes, every), packs))
     else:
-        visits = rows.mapInArrow(_visits(model, chunks, probes), packs)
+        visits = rows.mapInArrow(_visits(model, chunks, probes, every), packs)
     found = visits.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(
         _blocks(model, k, rerank, least, {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind]), f"identity string, id {kind}, other {kind}, cosine double"
     )
@@ -408,4 +414,4 @@ def near_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame:
 
 def searched(vectors: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest of every vector whose id is divisible by 20, against all vectors."""
-    return neighbours(vectors, k).where(F.col("id") % 20 == 0)
+    return neighbours(vectors, k, every=20)

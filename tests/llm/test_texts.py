@@ -41,6 +41,10 @@ def test_long_texts_split_safely(seed, monkeypatch):
     monkeypatch.setattr(encode, "PIECE", 50)
     assert "".join(pieces(text, 50)) == text and len(list(pieces(text, 50))) > 10
     assert encode_text(text, enc) == whole
+    r = random.Random(5)
+    mixed = "".join(r.choice(["a", "Zb", "7", "42", "²", "é", "_", "'s", "ß9", "١", "ab1"]) for _ in range(4000))
+    assert len(list(pieces(mixed, 50))) > 10
+    assert sum((enc.encode_ordinary(p) for p in pieces(mixed, 50)), []) == enc.encode_ordinary(mixed)
 
 
 def test_consistent_forms(spark):
@@ -59,9 +63,9 @@ def test_consistent_form_is_stable(spark, small):
     assert consistent(once).join(once, "doc_id").where("not (form <=> text)").count() == 0
 
 
-def check_packing(spark, sizes):
+def check_packing(spark, sizes, **k):
     df = spark.createDataFrame(list(enumerate(sizes)), "i long, n int")
-    got = pack(df, "i", "n").collect()
+    got = pack(df, "i", "n", **k).collect()
     fill, seen = {}, {}
     for r in got:
         fill[r["container_id"]] = fill.get(r["container_id"], 0) + r["units"]
@@ -80,6 +84,7 @@ def test_packing(spark):
     sizes = [int(r.lognormvariate(5.5, 1)) for _ in range(4000)] + [0, None, 1, 2048, 2049, 10_000, 4096] + [700] * 1500
     used = check_packing(spark, sizes)
     assert used <= 1.02 * sum(x or 0 for x in sizes) / CAPACITY + 1
+    assert check_packing(spark, sizes, shard=50) <= 1.02 * sum(x or 0 for x in sizes) / CAPACITY + 25  # some 25 shards
     assert check_packing(spark, [2048, 2048]) == 2 and check_packing(spark, [1025] * 40) == 40 and check_packing(spark, [1024] * 40) == 20
     empty = spark.createDataFrame([], "i long, n int")
     assert pack(empty, "i", "n").count() == 0

@@ -69,9 +69,9 @@ def test_packs_lose_nothing():
     codes = rng.integers(0, 256, (200, 3)).astype(np.uint8)
     packs = knn._packs(block, 0, ids, v, codes)
     assert packs.num_rows < 30
-    i, x, indexed, c = knn._unpacked(packs, 7)
+    i, x, role, c = knn._unpacked(packs, 7)
     back = np.argsort(-i)
-    assert indexed.all() and (i[back] == ids).all() and (x[back] == v).all() and (c[back] == codes).all()
+    assert (role == 0).all() and (i[back] == ids).all() and (x[back] == v).all() and (c[back] == codes).all()
     assert len(knn._packs(block[:0], 1, ids[:0], v[:0])) == 0
 
 
@@ -99,3 +99,11 @@ def test_many_equal_vectors_go_to_the_smaller_identifiers(spark):
         got.setdefault(r["id"], []).append((r["rank"], r["other"]))
     copies = [i for i in range(400) if i % 3]
     assert {i: [o for _, o in sorted(v)] for i, v in got.items()} == {i: [j for j in copies[:6] if j != i][:5] for i in copies}
+
+
+def test_only_some_vectors_ask(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, [float(a) for a in v], 6, "a", "", "") for i, v in enumerate(x)], "fact_id long, embedding array<float>, dim int, embedding_identity string, created_at string, content string")
+    some = {(r["id"], r["other"], r["rank"]) for r in knn.searched(df).collect()}
+    assert some == {(r["id"], r["other"], r["rank"]) for r in knn.neighbours(df).where("id % 20 = 0").collect()} and len(some) == 100
