@@ -1,11 +1,18 @@
-"""Safety screens over texts: credentials, injected instructions, tasks. One pass, JVM regular expressions."""
+"""Safety screens over texts: credentials, injected instructions, tasks, echoes of prompts.
+
+Matching is done by JVM regular expressions; only the composing of
+compatibility forms passes Arrow, once per text (``normal``).
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Shapes of credentials.
 CREDENTIALS = (
@@ -30,6 +37,27 @@ TASK = r"(?is)^\s*(?:pitch\b|todo\b|action items?:)"
 # Fixed value: characters of category Cf, which are dropped before matching.
 FORMAT_CHARS = r"\p{Cf}"
 VISIBLE = r"[^\s\p{Z}]"
+# Look-alike letters that are folded before echoes are looked for, and the letters they stand for.
+LOOK_ALIKE, STANDS_FOR = "аеорсухіАЕОРСУХІ", "aeopcyxiaeopcyxi"
+# Contents of the examples in extraction prompts, words that count for nothing between them, and the thresholds of an echo.
+EXAMPLES = ("Dana now works at Northwind.", "Dana prefers split keyboards.", "Dana no longer lives in Springfield.")
+ECHO_STOPWORDS = "a an as at in longer no now the".split()
+ECHO_JACCARD, ECHO_SHARED = 0.65, 3
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    from unicodedata import normalize
+
+    return texts.map(lambda t: t if t is None or t.isascii() else normalize("NFKC", t))
+
+
+def normal(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows with compatibility forms of the named texts composed (NFKC), so that width forms and ligatures match plain patterns.
+
+    Spark has no such function, so the texts pass an Arrow function once; texts
+    in ASCII come back as they are.
+    """
+    return df.withColumns({c: _composed(F.col(c)) for c in columns})
 
 
 def plain(text: Column) -> Column:
@@ -37,6 +65,20 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), FORMAT_CHARS, "")
 
 
+def echoes(text: Column) -> Column:
+    """Whether a text repeats an example of the prompts: one holds the other, or they share most of their words."""
+    low = F.lower(F.translate(plain(text), LOOK_ALIKE, STANDS_FOR))
+    key = F.regexp_replace(low, r"[^\p{L}\p{N}]", "")
+    words = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.array(*[F.lit(w) for w in ECHO_STOPWORDS]))
+    tests = []
+    for said in EXAMPLES:
+        k = re.sub(r"[^a-z0-9]", "", said.lower())
+        w = F.array(*[F.lit(x) for x in sorted(set(re.findall("[a-z0-9]+", said.lower())) - set(ECHO_STOPWORDS))])
+        shared, union = F.size(F.array_intersect(words, w)), F.size(F.array_union(words, w))
+        tests.append(key.contains(k) | F.contains(F.lit(k), key) | ((shared >= ECHO_SHARED) & (shared / union >= ECHO_JACCARD)))
+    return (key != "") & reduce(lambda a, b: a | b, tests)
+
+
 def blank(text: Column) -> Column:
     """Nothing but white space of any kind."""
     return ~text.rlike(VISIBLE)
@@ -56,22 +98,29 @@ def instruction_shaped(text: Column) -> Column:
     return blank(t) | any_match(t, (STRUCTURE, CONTROL, DISCLOSURE))
 
 
-def rejection(text: Column) -> Column:
-    """Why an automatic proposal is not kept, or null."""
+def ephemeral_reason(text: Column) -> Column:
+    """Why an automatic proposal is no durable memory, or null: the first of echo, instruction and task."""
     t = plain(text)
     injected = blank(t) | any_match(t, (STRUCTURE, LEADING_CONTROL, DISCLOSURE))
-    return F.when(credential_shaped(text), "credential_shaped").when(injected, "instruction_shaped_content").when(t.rlike("(?U)" + TASK), "task_shaped_content")
+    return F.when(echoes(text), "prompt_example_echo").when(injected, "instruction_shaped_content").when(t.rlike("(?U)" + TASK), "task_shaped_content")
+
+
+def rejection(text: Column) -> Column:
+    """Why an automatic proposal is not kept, or null."""
+    return F.when(credential_shaped(text), "credential_shaped").otherwise(ephemeral_reason(text))
 
 
 def screen_report(docs: DataFrame, text: str, by: str) -> DataFrame:
     """Rows by group and rejection reason."""
+    docs = normal(docs, text)
     return docs.groupBy(F.coalesce(by, F.lit("none")).alias(by), F.coalesce(rejection(F.col(text)), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def gold_proposals(gold: DataFrame) -> DataFrame:
     """Every proposed fact of the gate's cases with its verdict: grounded, spoken by the user, typed, screened."""
     f = gold.select("case_id", F.posexplode("facts").alias("item_no", "f"))
+    f = normal(f.withColumn("content", F.col("f.content")), "content")
     reason = F.coalesce(
-        rejection(F.col("f.content")), F.when(F.col("f.evidence_excerpt").isNull(), "no_evidence"), F.when(F.col("f.evidence_role") != "user", "not_said_by_user"),
+        rejection(F.col("content")), F.when(F.col("f.evidence_excerpt").isNull(), "no_evidence"), F.when(F.col("f.evidence_role") != "user", "not_said_by_user"),
     )
     return f.select("case_id", "item_no", F.col("f.state.kind").alias("kind"), F.coalesce(reason, F.lit("kept")).alias("verdict"))

@@ -60,80 +60,94 @@ def _overlaps(a0, a1, b0, b1) -> bool:
 
 
 def decide(write: dict, rows: list[dict]) -> tuple[str, int | None]:
-    """(action, target) of one write against a slot's believed rows: add, dedup, supersede, supersede_all or conflict."""
+    """(action, target) of one write against a slot's believed rows, in order of their numbers.
+
+    add, dedup, supersede, supersede_all (every open member) or conflict. Rows
+    are current or closed; a current row may be a member of an open conflict.
+    """
     current = [r for r in rows if r["status"] == "current"]
-    near = [r for r in rows if r["status"] in ("current", "closed") and _overlaps(write["start"], write["stop"], r["start"], r["stop"])]
+    near = [r for r in rows if _overlaps(write["start"], write["stop"], r["start"], r["stop"])]
     if not current and not near:
         return "add", None
+    start, authority = write["start"], write["authority"]
+    exact = next((r for r in current or near if r["content"] == write["content"] or (write["value"] is not None and r["value"] == write["value"])), None)
     if len(current) > 1 or any(r["conflict"] for r in current):
-        dated = write["start"] is not None and all(
-            r["start"] is not None
-            and ((write["authority"] > r["authority"] and write["start"] >= r["start"]) or (write["authority"] == r["authority"] and write["start"] > r["start"]))
-            for r in current
+        wins = start is not None and all(
+            authority >= r["authority"] and (r["start"] is None or start > r["start"] or (start == r["start"] and authority > r["authority"])) for r in current
         )
-        if dated or (write["start"] is None and write["authority"] > max(r["authority"] for r in current)):
+        if wins or authority > max(r["authority"] for r in current):
             return "supersede_all", None
-        exact = next((r for r in current if r["value"] == write["value"] or r["content"] == write["content"]), None)
         return "conflict", exact["seq"] if exact else None
-    for r in near:
-        if r["content"] == write["content"] or r["value"] == write["value"]:
-            return "dedup", r["seq"]
-    target = current[0] if current else near[-1]
-    if not _overlaps(write["start"], write["stop"], target["start"], target["stop"]):
+    if exact:
+        return "dedup", exact["seq"]
+    if not near:
         return "add", None
-    older = (write["start"] is None and target["start"] is not None) or (write["start"] is not None and target["start"] is not None and write["start"] < target["start"])
-    newer = write["start"] is not None and (target["start"] is None or write["start"] > target["start"])
-    if write["authority"] > target["authority"] and not older:
-        return "supersede", target["seq"]
-    if write["authority"] == target["authority"] and newer:
+    target = near[0]
+    older = target["start"] is not None and (start is None or start < target["start"])
+    newer = start is not None and (target["start"] is None or start > target["start"])
+    if (authority > target["authority"] and not older) or (authority == target["authority"] and newer):
         return "supersede", target["seq"]
     return "conflict", target["seq"]
 
 
-def apply_write(write: dict, rows: list[dict]) -> tuple[str, int | None]:
-    """Decide one write and bring the slot's rows up to date in place."""
+def apply_write(write: dict, rows: list[dict]) -> tuple[str, int | None, list[dict]]:
+    """(action, target, rows no longer believed): decides one write and brings the believed rows up to date in place."""
     action, target = decide(write, rows)
     if action == "dedup":
-        return action, target
+        return action, target, []
     row = {**write, "conflict": False, "status": "current" if write["stop"] is None else "closed"}
+    gone = []
     if action in ("supersede", "supersede_all"):
         for r in rows:
-            if r["status"] == "current" and (action == "supersede_all" or r["seq"] == target):
-                r["status"] = "superseded"
-                r["conflict"] = False
+            if r["seq"] == target if action == "supersede" else r["status"] == "current":
+                r["status"], r["conflict"] = "superseded", False
                 r["stop"] = write["start"] if r["stop"] is None else r["stop"]
+                gone.append(r)
+        rows[:] = [r for r in rows if r["status"] != "superseded"]
     elif action == "conflict":
         row["conflict"] = True
-        for r in rows:
-            if r["status"] == "current":
-                r["conflict"] = True
+        open_ = [r for r in rows if r["status"] == "current"]
+        for r in open_:
+            r["conflict"] = r["conflict"] or len(open_) > 1 or r["seq"] == target
     rows.append(row)
-    return action, target
+    return action, target, gone
 
 
-def fold_rows(log: list[dict]) -> list[dict]:
-    """The whole log of one slot, in order: a decision and a final row for each write."""
+def _result(row: dict) -> dict:
+    return {n: row[n] for n in ("scope", "subject_key", "predicate_key", "seq", "action", "target", "value", "start", "stop", "status", "conflict")}
+
+
+def fold_stream(log):
+    """A final row for each write of one slot's ordered log, as soon as it is final; only believed rows are kept."""
     rows: list[dict] = []
-    said = {}
-    for w in sorted(log, key=lambda w: w["seq"]):
-        said[w["seq"]] = apply_write(w, rows)
-    final = {r["seq"]: r for r in rows}
-    out = []
     for w in log:
-        action, target = said[w["seq"]]
-        r = final.get(w["seq"])
-        out.append({
-            "scope": w["scope"], "subject_key": w["subject_key"], "predicate_key": w["predicate_key"], "seq": w["seq"], "action": action, "target": target,
-            "value": w["value"], "start": w["start"], "stop": r["stop"] if r else w["stop"], "status": r["status"] if r else "dropped", "conflict": bool(r and r["conflict"]),
-        })
-    return sorted(out, key=lambda r: r["seq"])
+        before = dict(w)
+        action, target, gone = apply_write(before, rows)
+        for r in gone:
+            yield _result(r)
+        if action == "dedup":
+            yield _result({**w, "action": action, "target": target, "status": "dropped", "conflict": False})
+        else:
+            rows[-1] |= {"action": action, "target": target}
+    for r in rows:
+        yield _result(r)
+
+
+def fold_rows(log: list[dict]) -> list[dict]:
+    """The whole log of one slot: a decision and a final row for each write, in order."""
+    return sorted(fold_stream(sorted(log, key=lambda w: w["seq"])), key=lambda r: r["seq"])
 
 
 def fold(log: DataFrame) -> DataFrame:
     """The write fold of every slot. Slots are independent, and the order within one is (seq).
 
-    Rows stream through sorted partitions; a slot's believed rows are its state.
+    Writes stream through sorted partitions, and a slot's state is its believed
+    rows: a current one or the members of a conflict, and closed ones. A
+    decision depends on all before it in its slot, so one slot is one sequence;
+    its length costs time in one task, but not memory.
     """
+    from itertools import groupby
+
     from ..runtime import partitions, ship
 
     ship(log.sparkSession)
@@ -144,22 +158,20 @@ def fold(log: DataFrame) -> DataFrame:
 
         names = [f.split()[0] for f in FOLD_SCHEMA.split(", ")]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-        key, held = None, []
 
-        def flush():
-            got = fold_rows(held)
+        def batch(got):
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in got], k) for n, k in zip(names, kinds, strict=True)], names)
 
-        for b in batches:
-            for r in b.to_pylist():
-                k = (r["scope"], r["subject_key"], r["predicate_key"])
-                if k != key:
-                    if held:
-                        yield flush()
-                    key, held = k, []
-                held.append(r)
-        if held:
-            yield flush()
+        writes = (r for b in batches for r in b.to_pylist())
+        got: list[dict] = []
+        for _, slot in groupby(writes, key=lambda r: (r["scope"], r["subject_key"], r["predicate_key"])):
+            for r in fold_stream(slot):
+                got.append(r)
+                if len(got) == 10_000:
+                    yield batch(got)
+                    got = []
+        if got:
+            yield batch(got)
 
     return log.repartition(partitions(log.sparkSession), *SLOT).sortWithinPartitions(*SLOT, "seq").select(*cols).mapInArrow(run, FOLD_SCHEMA)
 

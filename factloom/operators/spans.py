@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,41 +14,32 @@ from ..runtime import ship
 MAX_CHARS = 2000
 MIN_CUT = 64
 CUTS = ("\n\n", "\n", ". ", "? ", "! ")
-_BLANK = re.compile(r"\r?\n[ \t]*\r?\n")
+
+
+@cache
+def _piece(limit: int) -> re.Pattern:
+    """One readable piece: the rest of a block where it fits, else up to the last best cut within the limit, else the limit.
+
+    Each alternative is greedy, so it takes the last place of its kind; their
+    order is the preference. A piece's first character shows.
+    """
+    least, most = MIN_CUT, limit - 1
+    cuts = []
+    for c in CUTS:
+        mark, blank = re.escape(c.rstrip()), re.escape(c[len(c.rstrip()) :])
+        # the cut lies inside the window and is followed by its blank; a line end itself is not part of the piece
+        cuts.append(rf"(?=\S)[\s\S]{{{max(least, 1)},{most - len(c) + 1}}}{mark}(?={blank})" if mark else rf"(?=\S)[\s\S]{{{least},{most - len(c) + 1}}}(?={blank})")
+    return re.compile(rf"(?=\S)[\s\S]{{1,{limit}}}\Z|" + "|".join(cuts) + rf"|(?=\S)[\s\S]{{1,{limit}}}")
 
 
 def split_spans(text: str, limit: int = MAX_CHARS) -> list[tuple[int, int]]:
     """(start, end) of the spans of a text: blocks between blank lines, cut readably where they exceed the limit."""
     out: list[tuple[int, int]] = []
-    at = 0
-    edges = [(m.start(), m.end()) for m in _BLANK.finditer(text)] + [(len(text), len(text))]
-    for stop, following in edges:
-        pos = at
-        while pos < stop:
-            while pos < stop and text[pos].isspace():
-                pos += 1
-            end = stop
-            while end > pos and text[end - 1].isspace():
-                end -= 1
-            if pos >= end:
-                break
-            if end - pos > limit:
-                hard, cut = pos + limit, None
-                for sep in CUTS:
-                    i = text.rfind(sep, min(hard, pos + MIN_CUT), hard)
-                    if i >= 0:
-                        cut = i + (1 if sep[-1].isspace() else len(sep))
-                        break
-                nxt = cut if cut is not None else hard
-                end = nxt
-                while end > pos and text[end - 1].isspace():
-                    end -= 1
-                out.append((pos, end))
-                pos = nxt
-            else:
-                out.append((pos, end))
-                break
-        at = following
+    for block in re.finditer(r"(?:(?!\r?\n[ \t]*\r?\n)[\s\S])+", text):
+        said = block[0].rstrip()
+        shift = block.start()
+        for m in _piece(limit).finditer(said):
+            out.append((shift + m.start(), shift + m.start() + len(m[0].rstrip())))
     return out
 
 
