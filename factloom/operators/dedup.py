@@ -169,10 +169,3 @@ def orphans(facts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     return every.where("fact_id is not null").distinct().join(ids, "fact_id", "left_anti").select("table", "column", "fact_id")
-
-
-def rewritten_provenance(provenance: DataFrame, members: DataFrame, plan: DataFrame) -> DataFrame:
-    """Evidence edges with dropped facts replaced by their survivor, repeated edges collapsed."""
-    to = members.join(plan.select("cluster", "survivor"), "cluster").select("fact_id", "survivor")
-    r = provenance.select("fact_id", "observation_id", "relation").join(to, "fact_id", "left")
-    return r.select(F.coalesce("survivor", "fact_id").alias("fact_id"), "observation_id", "relation").distinct()

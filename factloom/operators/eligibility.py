@@ -47,6 +47,11 @@ def retired_by_prefix() -> Column:
     return F.coalesce(head.startswith(RETIRED_PREFIXES[0]) | head.startswith(RETIRED_PREFIXES[1]) | head.startswith(RETIRED_PREFIXES[2]), F.lit(False))
 
 
+def retirement_plan(facts: DataFrame, at: str) -> DataFrame:
+    """(fact_id, invalid_at): rows that their content marks as retired, with an end where they have none."""
+    return facts.where(retired_by_prefix()).select("fact_id", F.coalesce("invalid_at", F.lit(at)).alias("invalid_at"))
+
+
 def overlap(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
     """Half-open intervals; a null bound is open."""
     return (a_to.isNull() | b_from.isNull() | (b_from < a_to)) & (b_to.isNull() | a_from.isNull() | (a_from < b_to))

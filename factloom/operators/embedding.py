@@ -6,8 +6,10 @@ import hashlib
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .dense import cosine, present
 from .dedup import guard_key
@@ -124,8 +126,6 @@ def write_near_duplicates(incoming: DataFrame, incoming_vectors: DataFrame, fact
     scoped = lists.join(live.select("fact_id", "scope", "content", "trust_score", "created_at"), "fact_id").join(v, "fact_id")
     asked = incoming.select("request_id", F.col("scope").alias("_scope"), guard_key(F.col("content")).alias("_guard")).join(incoming_vectors.select("request_id", F.col("embedding").alias("_v")), "request_id")
     rows = scoped.join(asked, "request_id").where("scope = _scope")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("request_id").orderBy(F.round("bm25", 9).desc(), "fact_id")
     near = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).where((guard_key(F.col("content")) == F.col("_guard")) & (F.size("embedding") == F.size("_v")))
     return near.select("request_id", "fact_id", "trust_score", "created_at", F.round(cosine(F.col("embedding"), F.col("_v")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
@@ -179,9 +179,6 @@ def value_swapped(a: str, b: str) -> bool:
 
 def semantic_duplicates(pairs: DataFrame, threshold: float, restated: float = 0.8) -> DataFrame:
     """``pairs`` (a_text, b_text, cosine, ...) that say the same: equal values, no turned state or polarity, no swapped word, close vectors."""
-    import pandas as pd
-    from pyspark.sql.types import BooleanType
-
     from ..functions.text import content_tokens, jaccard, negated, opposing_states, state_words, token_set, value_tokens
 
     @F.pandas_udf(BooleanType())

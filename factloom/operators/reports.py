@@ -158,7 +158,7 @@ def capture_gate(metrics: DataFrame, bars: dict[str, float] = CAPTURE_BARS) -> D
 
 def latency_percentiles(runs: DataFrame, by: str, value: str, shares=(0.5, 0.95)) -> DataFrame:
     """Nearest-rank percentiles of whole numbers by group; a group without values is missing."""
-    return runs.where(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("runs"), *[F.expr(f"percentile_disc({s}) within group (order by {value})").alias(f"p{round(s * 100)}") for s in shares])
+    return runs.where(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("runs"), *[F.expr(f"cast(percentile_disc({s}) within group (order by {value}) as long)").alias(f"p{round(s * 100)}") for s in shares])
 
 
 # ---- personal cases -----------------------------------------------------------------------------

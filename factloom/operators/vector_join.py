@@ -29,7 +29,7 @@ SLACK = 1e-5
 
 
 def _units(batch):
-    """(dimension, row numbers, unit vectors) of a batch; unusable vectors are left out."""
+    """(dimension, row numbers, vectors, unit vectors) of a batch; unusable vectors are left out."""
     import numpy as np
 
     lists = batch.column("embedding")
@@ -42,7 +42,7 @@ def _units(batch):
         v = flat[off[rows][:, None] + np.arange(d)[None, :]]
         norm = np.linalg.norm(v, axis=1)
         good = np.isfinite(norm) & (norm > 0)
-        yield int(d), rows[good], v[good] / norm[good][:, None]
+        yield int(d), rows[good], v[good].astype(np.float32), v[good] / norm[good][:, None]
 
 
 def _places(pivots, reach: float):
@@ -53,14 +53,14 @@ def _places(pivots, reach: float):
         import pyarrow as pa
 
         for b in batches:
-            for d, rows, v in _units(b):
+            for d, rows, raw, v in _units(b):
                 p = pivots.value.get(d)
                 angle = np.arccos(np.clip(v @ p.T, -1, 1)) if p is not None else np.zeros((len(v), 1))
                 own = angle.argmin(axis=1)
                 near = (angle - angle[np.arange(len(v)), own][:, None] <= reach + SLACK) & (np.arange(angle.shape[1])[None, :] > own[:, None])
                 r, c = np.nonzero(near)
                 row, cell, asks = np.r_[np.arange(len(v)), r], np.r_[own, c], np.r_[np.zeros(len(v), bool), np.ones(len(r), bool)]
-                packed = pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary())
+                packed = pa.array([x.tobytes() for x in raw], pa.binary())
                 at = pa.array(rows[row])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("grp").take(at), b.column("id").take(at), pa.array(cell.astype(np.int32)), pa.array(asks), pa.array(np.full(len(row), d, np.int32)), packed.take(pa.array(row))],
@@ -80,16 +80,16 @@ def _compare(least: float):
         key = ids = held = None
 
         def pairs(x_ids, x, y_ids, y, inside):
+            plain = x.astype(np.float32)
             for s in range(0, len(y), 1024):
-                sim = y[s : s + 1024] @ x.T
-                i, j = np.nonzero(sim >= least - 1e-6)
+                sim = y[s : s + 1024].astype(np.float32) @ plain.T
+                i, j = np.nonzero(sim >= least - 1e-5)
                 if inside:
                     keep = y_ids[s + i] > x_ids[j]
                     i, j = i[keep], j[keep]
                 if len(i):
                     a, b = x_ids[j], y_ids[s + i]
-                    # the cosine as stated, in doubles
-                    exact = np.einsum("ij,ij->i", x[j].astype(np.float64), y[s + i].astype(np.float64))
+                    exact = np.einsum("ij,ij->i", x[j], y[s + i])
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(exact)], ["a", "b", "cosine"])
 
         for b in batches:
@@ -100,9 +100,10 @@ def _compare(least: float):
             edges = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             for s, e in zip(np.r_[0, edges], np.r_[edges, len(k)], strict=True):
                 block, role = tuple(k[s, :4].tolist()), int(k[s, 4])
-                v = np.frombuffer(b"".join(b.column("v").slice(s, e - s).to_pylist()), np.float32).reshape(e - s, -1)
+                v = np.frombuffer(b"".join(b.column("v").slice(s, e - s).to_pylist()), np.float32).reshape(e - s, -1).astype(np.float64)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
                 if block != key:
-                    key, ids, held = block, np.empty(0, np.int64), np.empty((0, v.shape[1]), np.float32)
+                    key, ids, held = block, np.empty(0, np.int64), np.empty((0, v.shape[1]))
                 mine = cols["id"][s:e]
                 if role == 0:  # held rows: against those before and among themselves
                     yield from pairs(ids, held, mine, v, False)

@@ -85,10 +85,14 @@ def newest_facts(spark, sf):
 
 
 @query("""
-SELECT fact_id FROM facts WHERE starts_with(lower(ltrim(content)), 'superseded') OR starts_with(lower(ltrim(content)), 'stale/disabled')
+WITH m AS (SELECT fact_id, invalid_at, CASE fact_id % 10 WHEN 0 THEN '  Superseded: ' || content WHEN 1 THEN 'historical/SUPERSEDED ' || content ELSE content END AS content FROM facts)
+SELECT fact_id, coalesce(invalid_at, '2026-01-01T00:00:00Z') AS invalid_at FROM m WHERE starts_with(lower(ltrim(content)), 'superseded') OR starts_with(lower(ltrim(content)), 'stale/disabled')
    OR starts_with(lower(ltrim(content)), 'historical/superseded')""")
 def retired_by_prefix(spark, sf):
-    return table(spark, sf, "facts").where(eligibility.retired_by_prefix()).select("fact_id")
+    """Facts that their content marks as retired get an end; every fifth fact is marked here."""
+    i = F.col("fact_id") % 10
+    text = F.when(i == 0, F.concat(F.lit("  Superseded: "), "content")).when(i == 1, F.concat(F.lit("historical/SUPERSEDED "), "content")).otherwise(F.col("content"))
+    return eligibility.retirement_plan(table(spark, sf, "facts").withColumn("content", text), "2026-01-01T00:00:00Z")
 
 
 _VALID = f"""({at('valid_from')} IS NULL OR {at('valid_from')} <= {AT_VALID}) AND ({at('valid_to')} IS NULL OR {at('valid_to')} > {AT_VALID})"""
@@ -254,30 +258,31 @@ def entity_resolution(spark, sf):
     return projections.entity_resolution(table(spark, sf, "entities"))
 
 
+HUB = 60
 _LINKS = f"""
 l AS (SELECT fact_id, object_entity_id AS e FROM facts WHERE object_entity_id IS NOT NULL AND {ACTIVE}),
-s AS (SELECT * FROM l WHERE e IN (SELECT e FROM l GROUP BY e HAVING count(*) <= 25)),
+s AS (SELECT * FROM l WHERE e IN (SELECT e FROM l GROUP BY e HAVING count(*) <= {HUB})),
 one AS (SELECT DISTINCT a.fact_id AS seed_id, b.fact_id FROM s a JOIN s b ON a.e = b.e AND a.fact_id != b.fact_id
-        WHERE a.fact_id IN (SELECT fact_id FROM facts WHERE correction_status = 'human_confirmed'))"""
+        WHERE a.fact_id % 2 = 0)"""
 
 
 def _seeds(spark, sf):
-    return table(spark, sf, "facts").where("correction_status = 'human_confirmed'").select("fact_id")
+    return table(spark, sf, "facts").where("fact_id % 2 = 0").select("fact_id")
 
 
 @query(f"WITH {_LINKS} SELECT * FROM one")
 def entity_hop1(spark, sf):
-    return projections.hop(table(spark, sf, "facts"), _seeds(spark, sf))
+    return projections.hop(table(spark, sf, "facts"), _seeds(spark, sf), HUB)
 
 
 @query(f"""
 WITH {_LINKS},
 k AS (SELECT fact_id, subject_key FROM facts WHERE {ACTIVE} AND subject_key IS NOT NULL
-      AND subject_key IN (SELECT subject_key FROM facts WHERE {ACTIVE} AND subject_key IS NOT NULL GROUP BY 1 HAVING count(*) <= 25)),
+      AND subject_key IN (SELECT subject_key FROM facts WHERE {ACTIVE} AND subject_key IS NOT NULL GROUP BY 1 HAVING count(*) <= {HUB})),
 two AS (SELECT DISTINCT o.seed_id, b.fact_id FROM one o JOIN k a ON a.fact_id = o.fact_id JOIN k b USING (subject_key) WHERE b.fact_id != o.seed_id)
 SELECT seed_id, fact_id, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY 1, 2""")
 def entity_hop2(spark, sf):
-    return projections.two_hops(table(spark, sf, "facts"), _seeds(spark, sf))
+    return projections.two_hops(table(spark, sf, "facts"), _seeds(spark, sf), HUB)
 
 
 @query("""
@@ -379,13 +384,17 @@ def _orphan(name: str, child: str, column: str, parent: str, key: str) -> str:
     return f"SELECT '{name}' AS reference, {column} AS missing_id, CAST(count(*) AS BIGINT) AS n FROM {child} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent}) GROUP BY 2"
 
 
+_LEFT = "(SELECT * FROM facts WHERE fact_id % 50 <> 0)"
+
+
 @query(" UNION ALL ".join([
-    _orphan("facts.superseded_by", "facts", "superseded_by", "facts", "fact_id"), _orphan("facts.object_entity_id", "facts", "object_entity_id", "entities", "entity_id"),
-    _orphan("fact_provenance.fact_id", "fact_provenance", "fact_id", "facts", "fact_id"), _orphan("fact_provenance.observation_id", "fact_provenance", "observation_id", "observations", "observation_id"),
-    _orphan("fact_embeddings.fact_id", "fact_embeddings", "fact_id", "facts", "fact_id")]))
+    _orphan("facts.superseded_by", _LEFT, "superseded_by", _LEFT, "fact_id"), _orphan("facts.object_entity_id", _LEFT, "object_entity_id", "(SELECT * FROM entities WHERE entity_id % 7 <> 0)", "entity_id"),
+    _orphan("fact_provenance.fact_id", "fact_provenance", "fact_id", _LEFT, "fact_id"), _orphan("fact_provenance.observation_id", "fact_provenance", "observation_id", "observations", "observation_id"),
+    _orphan("fact_embeddings.fact_id", "fact_embeddings", "fact_id", _LEFT, "fact_id")]))
 def orphan_refs(spark, sf):
+    """References left behind if facts divisible by 50 and entities divisible by 7 were deleted carelessly."""
     t = [table(spark, sf, n) for n in ("facts", "observations", "fact_provenance", "fact_embeddings", "entities")]
-    return provenance.orphans(*t)
+    return provenance.orphans(t[0].where("fact_id % 50 != 0"), *t[1:4], t[4].where("entity_id % 7 != 0"))
 
 
 _TABLES = ("entities", "fact_embeddings", "fact_provenance", "facts", "memory_sessions", "observations")
@@ -430,53 +439,123 @@ def _vectors(spark, sf):
     return present(table(spark, sf, "fact_embeddings"), IDENTITY)
 
 
-@query()
-def near_dup_pairs(spark, sf):
-    return dedup.near_pairs(table(spark, sf, "facts"), _vectors(spark, sf), 0.75)
-
-
 _PRESENT = f"""v AS (SELECT fact_id, min(embedding) AS embedding FROM fact_embeddings WHERE embedding_identity = '{IDENTITY}' AND embedding IS NOT NULL AND len(embedding) = dim
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"""
 
 
 @query(f"""
-WITH {_PRESENT}, n AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM facts JOIN v USING (fact_id) WHERE {ACTIVE} ORDER BY fact_id DESC LIMIT 2000)
-SELECT a.fact_id AS a, b.fact_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM n a JOIN n b ON a.fact_id < b.fact_id
-WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.5 AND round(list_cosine_similarity(a.e, b.e), 6) < 0.9""")
+WITH {_PRESENT}, n AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM facts JOIN v USING (fact_id) WHERE {ACTIVE} ORDER BY fact_id DESC LIMIT 2000),
+c AS (SELECT a.fact_id AS a, b.fact_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS cosine FROM n a JOIN n b ON a.fact_id < b.fact_id)
+SELECT a, b, cosine FROM c WHERE cosine >= 0.5 AND cosine < 0.9""")
 def cosine_band_pairs(spark, sf):
-    return dedup.band_pairs(table(spark, sf, "facts"), _vectors(spark, sf), 0.5, 0.9)
+    """Pairs of the newest two thousand active facts in a band of cosines."""
+    b = dedup.band_pairs(table(spark, sf, "facts"), _vectors(spark, sf), 0.49999, 0.91)
+    return b.select("a", "b", F.round("cosine", 5).alias("cosine")).where("cosine >= 0.5 and cosine < 0.9")
+
+
+#: The test vectors of facts that the merge guard lets meet are far apart.
+NEAR = 0.3
+
+
+def _listed(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _guard_sql() -> str:
+    from ..functions.text import DATE_WORDS, MERGE_STATE_GROUPS, NEGATIONS, ON_OFF_AFTER
+
+    states = [w for g in MERGE_STATE_GROUPS for w in g]
+    return f"""
+g AS (SELECT fact_id, scope, list_filter(t, lambda x: regexp_matches(x, '[0-9]') OR x IN {_listed(DATE_WORDS)}) AS vals, len(list_filter(t, lambda x: x IN {_listed(NEGATIONS)})) > 0 AS neg,
+  list_sort(list_distinct(list_filter(t, lambda x: x IN {_listed(states)} AND NOT list_contains(bad, x)))) AS states
+  FROM (SELECT *, list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('on', 'off') AND (i = 1 OR t[i - 1] NOT IN {_listed(ON_OFF_AFTER)})), lambda i: t[i]) AS bad
+        FROM (SELECT fact_id, scope, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM facts WHERE {ACTIVE} AND content IS NOT NULL))),
+p AS (SELECT embedding_identity, fact_id, min(embedding) AS embedding FROM fact_embeddings WHERE embedding IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
+near AS (SELECT a, b, min(cosine) AS low, max(cosine) AS cosine FROM (SELECT x.fact_id AS a, y.fact_id AS b, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 5) AS cosine
+  FROM g x JOIN g y ON x.scope = y.scope AND x.vals = y.vals AND x.neg = y.neg AND x.states = y.states AND x.fact_id < y.fact_id JOIN p v ON v.fact_id = x.fact_id JOIN p w ON w.fact_id = y.fact_id AND w.embedding_identity = v.embedding_identity)
+  WHERE cosine >= {NEAR} GROUP BY 1, 2)"""
+
+
+def _near(spark, sf):
+    from ..operators.dense import present
+
+    return dedup.near_pairs(table(spark, sf, "facts"), present(table(spark, sf, "fact_embeddings")), NEAR)
+
+
+@query(f"WITH {_guard_sql()} SELECT a, b, cosine FROM near")
+def near_dup_pairs(spark, sf):
+    """Pairs of active facts of one scope, guard and vector space whose vectors are near."""
+    return _near(spark, sf).groupBy("a", "b").agg(F.round(F.max("cosine"), 5).alias("cosine"))
+
+
+_CLUSTERS = f"""WITH RECURSIVE {_guard_sql()},
+edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comp AS (SELECT a AS fact_id, min(b) AS chain_id FROM reach GROUP BY 1)"""
 
 
 def _members(spark, sf):
-    """Clusters for the merge queries: the chains of replacement, as an edge list of any origin will do."""
-    return bitemporal.chains(table(spark, sf, "facts")).withColumnRenamed("chain_id", "cluster")
+    """Clusters of near-duplicates."""
+    return dedup.clusters(_near(spark, sf))
 
 
-@query(_CHAINS + "SELECT fact_id, chain_id AS cluster FROM comp")
+@query(_CLUSTERS + "SELECT fact_id, chain_id AS cluster FROM comp")
 def dup_clusters(spark, sf):
     return _members(spark, sf)
 
 
-_PLAN = f"""{_CHAINS}, r AS (SELECT comp.chain_id AS cluster, f.*, ({ACTIVE}) AS live FROM comp JOIN facts f USING (fact_id)),
+_PLAN = f"""{_CLUSTERS}, r AS (SELECT comp.chain_id AS cluster, f.*, ({ACTIVE}) AS live FROM comp JOIN facts f USING (fact_id)),
 w AS (SELECT cluster, fact_id, row_number() OVER (PARTITION BY cluster ORDER BY live DESC, coalesce(trust_score, 0) * coalesce(retrieval_count, 0) DESC, coalesce(created_at, '~'), fact_id) AS rn FROM r),
 t AS (SELECT cluster, fact_id, unnest(l) AS tag, unnest(range(0, len(l))) AS i FROM (SELECT cluster, fact_id, list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM r)),
-u AS (SELECT cluster, string_agg(tag, ',' ORDER BY o) AS tags FROM (SELECT cluster, tag, min(fact_id * 1000 + i) AS o FROM t GROUP BY 1, 2) GROUP BY 1)"""
+u AS (SELECT cluster, string_agg(tag, ',' ORDER BY o) AS tags FROM (SELECT cluster, tag, min(fact_id * 1000 + i) AS o FROM t GROUP BY 1, 2) GROUP BY 1),
+lose AS (SELECT r.fact_id, w.fact_id AS survivor FROM r JOIN w ON w.cluster = r.cluster AND rn = 1 WHERE r.fact_id <> w.fact_id)"""
 
 
 @query(_PLAN + """
 SELECT r.cluster, max(w.fact_id) FILTER (WHERE rn = 1) AS survivor, CAST(count(*) - 1 AS BIGINT) AS dropped, CAST(sum(coalesce(retrieval_count, 0)) AS BIGINT) AS retrieval_count,
-       CAST(sum(coalesce(helpful_count, 0)) AS BIGINT) AS helpful_count, coalesce(any_value(u.tags), '') AS tags
+       CAST(sum(coalesce(helpful_count, 0)) AS BIGINT) AS helpful_count, coalesce(any_value(u.tags), '') AS tags, count(*) > 25 AS suspicious
 FROM r JOIN w ON w.cluster = r.cluster AND w.fact_id = r.fact_id LEFT JOIN u ON u.cluster = r.cluster GROUP BY 1""")
 def merge_plan(spark, sf):
+    """What merging the clusters would write."""
     return dedup.merge_plan(table(spark, sf, "facts"), _members(spark, sf))
 
 
+def _losers(spark, sf):
+    return dedup.merged_ids(table(spark, sf, "facts"), _members(spark, sf))
+
+
 @query(_PLAN + """
-SELECT DISTINCT coalesce(s.fact_id, p.fact_id) AS fact_id, observation_id, relation FROM fact_provenance p
-LEFT JOIN (SELECT r.fact_id AS old, w.fact_id FROM r JOIN w ON w.cluster = r.cluster AND rn = 1) s ON s.old = p.fact_id""")
+SELECT DISTINCT coalesce(survivor, p.fact_id) AS fact_id, observation_id, relation FROM fact_provenance p LEFT JOIN lose USING (fact_id)""")
 def merge_references(spark, sf):
+    """The evidence edges with merged facts replaced by their survivor."""
+    return dedup.merged_rows(table(spark, sf, "fact_provenance").select("fact_id", "observation_id", "relation"), _losers(spark, sf), "deduplicate")
+
+
+@query(_PLAN + """
+, m AS (SELECT f.fact_id, coalesce(s.survivor, f.superseded_by) AS link FROM facts f LEFT JOIN lose s ON s.fact_id = f.superseded_by WHERE f.fact_id NOT IN (SELECT fact_id FROM lose))
+SELECT fact_id, CASE WHEN link <> fact_id THEN link END AS superseded_by FROM m""")
+def merged_links(spark, sf):
+    """The facts that stay after a merge, with their links led to survivors."""
+    f = table(spark, sf, "facts")
     m = _members(spark, sf)
-    return dedup.rewritten_provenance(table(spark, sf, "fact_provenance"), m, dedup.merge_plan(table(spark, sf, "facts"), m))
+    return dedup.merged_facts(f, dedup.merge_plan(f, m), dedup.merged_ids(f, m)).select("fact_id", "superseded_by")
+
+
+@query(_PLAN + "SELECT fact_id, embedding_identity FROM fact_embeddings WHERE fact_id NOT IN (SELECT fact_id FROM lose)")
+def merged_vectors(spark, sf):
+    return dedup.merged_rows(table(spark, sf, "fact_embeddings").select("fact_id", "embedding_identity"), _losers(spark, sf), "delete")
+
+
+@query(_PLAN + f"""
+, b AS (SELECT (SELECT count(*) FROM lose) AS dropped, (SELECT count(*) FROM facts WHERE {ACTIVE} AND content IS NOT NULL) AS active)
+SELECT CAST(dropped AS BIGINT) AS dropped, CAST(active - dropped AS BIGINT) AS stay FROM b""")
+def merge_guard(spark, sf):
+    """How many facts the merge drops and keeps; outside of its band it raises."""
+    f = table(spark, sf, "facts")
+    plan = dedup.merge_plan(f, _members(spark, sf))
+    dedup.check_merge(f, plan, 0, 10**12)
+    n = plan.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
+    return n.join(dedup.mergeable(f).agg(F.count(F.lit(1)).alias("_a"))).select("dropped", (F.col("_a") - F.col("dropped")).alias("stay"))
 
 
 @query()
