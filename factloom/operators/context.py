@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimated_tokens, truncated
+from ..functions.text import estimated_tokens
 
+#: Rows of a ranking that one prompt looks at (four times twelve).
 PER_QUERY = 48
 
 
@@ -22,52 +23,43 @@ def reviewed_first(ranked: DataFrame, by: str = "query_id") -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(w))
 
 
-def page(ranked: DataFrame, offset: int, size: int, by: str = "query_id") -> DataFrame:
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + size))
-
-
-def lines(ranked: DataFrame, limit: int = 400) -> DataFrame:
-    """One line per fact: identifier, trust and its text cut to the limit."""
-    return ranked.withColumn("line", F.format_string("- [%d] (trust %.2f) %s", "fact_id", F.coalesce("trust_score", F.lit(0.0)), truncated(F.coalesce("content", F.lit("")), limit)))
-
-
 def mmr(ranked: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
-    """(query_id, fact_id, place): greedy maximal marginal relevance over token overlap; ties to the better rank.
+    """(query_id, fact_id, place): greedy maximal marginal relevance; ties to the better rank.
 
-    A query brings at most PER_QUERY rows into its group: that bound is the
-    candidate window of the packing, and callers rank before.
+    Two facts are alike by the cosine of their vectors (column ``embedding``,
+    if there) where both have one, else by shared tokens. A query brings its
+    first PER_QUERY rows: as many as its prompt may ask for.
     """
+    has = "embedding" in ranked.columns
 
     def pick(pdf):
         import re
 
+        import numpy as np
         import pandas as pd
 
         rows = pdf.sort_values("rank").head(PER_QUERY)
         toks = [frozenset(re.findall("[a-z0-9]+", (t or "").lower())) for t in rows["content"]]
+        unit = []
+        for v in rows["embedding"] if has else [None] * len(rows):
+            x = None if v is None else np.asarray(v, np.float64)
+            ok = x is not None and x.size and np.isfinite(x).all() and np.linalg.norm(x) > 0
+            unit.append(x / np.linalg.norm(x) if ok else None)
         rel, ids = rows["score"].tolist(), rows["fact_id"].tolist()
+
+        def like(i: int, j: int) -> float:
+            if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]):
+                return float(np.clip(unit[i] @ unit[j], -1, 1))
+            every = toks[i] | toks[j]
+            return len(toks[i] & toks[j]) / len(every) if every else 0.0
+
         chosen: list[int] = []
         left = list(range(len(ids)))
         while left and len(chosen) < k:
-            def gain(i: int) -> float:
-                sims = [len(toks[i] & toks[j]) / len(toks[i] | toks[j]) if toks[i] | toks[j] else 0.0 for j in chosen]
-                return round(weight * rel[i] - (1 - weight) * max(sims, default=0.0), 9)
-
-            best = max(left, key=lambda i: (gain(i), -i))
+            best = max(left, key=lambda i: (round(weight * rel[i] - (1 - weight) * max((like(i, j) for j in chosen), default=0.0), 9), -i))
             chosen.append(best)
             left.remove(best)
         return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]] * len(chosen), "fact_id": [ids[i] for i in chosen], "place": range(1, len(chosen) + 1)})
 
-    top = ranked.where(F.col("rank") <= PER_QUERY).select("query_id", "fact_id", "rank", "score", "content")
-    return top.groupBy("query_id").applyInPandas(pick, "query_id long, fact_id long, place int")
-
-
-def pack(ranked: DataFrame, budget: int) -> DataFrame:
-    """One context text per query: reviewed first, one line per slot, within the budget; with counts."""
-    slot = F.when(F.col("subject_key").isNotNull() & F.col("predicate_key").isNotNull(), F.concat_ws("|", "scope", "subject_key", "predicate_key"))
-    w = Window.partitionBy("query_id", F.coalesce(slot, F.col("fact_id").cast("string"))).orderBy("place")
-    r = lines(reviewed_first(ranked)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
-    fit = budget_prefix(r, budget, "line")
-    g = fit.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("x"), F.count(F.lit(1)).alias("facts"), F.max("used").alias("tokens"))
-    return g.select("query_id", "facts", "tokens", F.array_join(F.transform("x", lambda y: y.line), "\n").alias("context"))
+    cols = ["query_id", "fact_id", "rank", "score", "content", *(["embedding"] if has else [])]
+    return ranked.where(F.col("rank") <= PER_QUERY).select(*cols).groupBy("query_id").applyInPandas(pick, "query_id long, fact_id long, place int")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STEM_SUFFIXES, content_tokens, jaccard, negated, opposing_states, state_words, subjectish, token_set, tokens, value_tokens, words_array
+from ..functions.text import STATE_GROUPS, STEM_SUFFIXES, content_tokens, jaccard, negated, opposing_states, state_words, subjectish, token_set, tokens, value_tokens, words_array
 from ..runtime import Cut, spread
 from .eligibility import active
 
@@ -104,21 +104,44 @@ def contradiction_pairs(facts: DataFrame) -> DataFrame:
 
 
 def value_update_pairs(facts: DataFrame, block: str = "subject_key") -> DataFrame:
-    """(newer, older): facts of one scope and block where the newer updates the older's value."""
+    """(newer, older): facts of one scope and block where the newer updates the older's value.
+
+    A value changes only within one frame, and polarity only between a negated
+    and a plain claim or between two that name a state of one group. So rows
+    meet by frame, across polarity, and by group of states; two plain claims
+    that share no frame never do.
+    """
     rows = facts.where(active() & F.col("content").isNotNull() & F.col(block).isNotNull()).select("fact_id", "scope", F.col(block).alias("k"), "content")
     c = claims(rows, Cut(facts.sparkSession, "claims")).drop("content")
-    met = c.alias("a").join(c.alias("b"), (F.col("a.scope") == F.col("b.scope")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fact_id") > F.col("b.fact_id")))
-    return met.where(value_update("a", "b")).select(F.col("a.fact_id").alias("newer"), F.col("b.fact_id").alias("older"))
+    same = (F.col("a.scope") == F.col("b.scope")) & (F.col("a.k") == F.col("b.k"))
+    framed = c.where(F.size("val") > 0).withColumn("_f", F.xxhash64("frame"))
+    groups = F.array_compact(F.array(*[F.when(F.arrays_overlap("states", words_array(g)), F.lit(i)) for i, g in enumerate(STATE_GROUPS)]))
+    stated = c.where(F.size("states") > 0).withColumn("_f", F.explode(groups))
+    parts = [framed.alias("a").join(framed.alias("b"), same & (F.col("a._f") == F.col("b._f"))), stated.alias("a").join(stated.alias("b"), same & (F.col("a._f") == F.col("b._f"))), c.where("neg").alias("a").join(c.where("not neg").alias("b"), same)]
+    out = None
+    for met in parts:
+        met = met.where((F.col("a.fact_id") != F.col("b.fact_id")) & value_update("a", "b")).select(F.greatest("a.fact_id", "b.fact_id").alias("newer"), F.least("a.fact_id", "b.fact_id").alias("older"))
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
 
 
 def restatements(facts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(newer, older): active facts of one scope with equal values, equal content words and polarity, and close token sets."""
+    """(newer, older): every active fact that restates an earlier one of its scope, with the earliest such.
+
+    Restated facts agree in values, content words and polarity, and their token
+    sets are close. Facts of equal token sets are one class, so copies never
+    meet each other; only classes do.
+    """
     text = F.col("content")
     k = F.xxhash64(F.sort_array(content_tokens(text)), value_tokens(text), negated(text))
-    rows = facts.where(active() & text.isNotNull()).select("fact_id", "scope", k.alias("k"), token_set(text).alias("t"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fact_id") > F.col("b.fact_id")))
-    return met.where(jaccard(F.col("a.t"), F.col("b.t")) >= threshold).select(F.col("a.fact_id").alias("newer"), F.col("b.fact_id").alias("older"))
+    t = F.sort_array(token_set(text))
+    rows = facts.where(active() & text.isNotNull()).select("fact_id", "scope", k.alias("k"), F.xxhash64(t).alias("c"), t.alias("t")).where(F.size("t") > 0)
+    classes = rows.groupBy("scope", "k", "c").agg(F.min("fact_id").alias("first"), F.first("t").alias("t"))
+    a, b = classes.alias("a"), classes.alias("b")
+    met = a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.first") > F.col("b.first")))
+    near = met.where(jaccard(F.col("a.t"), F.col("b.t")) >= threshold).groupBy(F.col("a.scope").alias("scope"), F.col("a.k").alias("k"), F.col("a.c").alias("c")).agg(F.min("b.first").alias("near"))
+    known = classes.select("scope", "k", "c", "first").join(near, ["scope", "k", "c"], "left").select("scope", "k", "c", F.least("first", F.coalesce("near", "first")).alias("older"))
+    return rows.join(known, ["scope", "k", "c"]).where("fact_id > older").select(F.col("fact_id").alias("newer"), "older")
 
 
 def conflict_label(a: Column, b: Column) -> Column:

@@ -70,6 +70,13 @@ def all_tokens(facts: DataFrame, queries: DataFrame, keep: Column | None = None)
     return p.groupBy("query_id", "fact_id").agg(F.count(F.lit(1)).alias("have")).join(need, "query_id").where("have = need").select("query_id", "fact_id")
 
 
+def most_trusted(hits: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """(query_id, fact_id, rank): the ``k`` most trusted hits of each query; ties to the smaller identifier."""
+    w = Window.partitionBy("query_id").orderBy(F.coalesce("trust_score", F.lit(0.0)).desc(), "fact_id")
+    r = hits.join(facts.select("fact_id", "trust_score"), "fact_id").withColumn("rank", F.row_number().over(w))
+    return r.where(F.col("rank") <= k).select("query_id", "fact_id", "rank")
+
+
 def overlap(facts: DataFrame, queries: DataFrame, least: float = 0.0) -> DataFrame:
     """(query_id, fact_id, jaccard, coverage) of facts that share a token with the query, by a token join."""
     docs = facts.select("fact_id", token_set(F.col("content")).alias("d"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, retrieval, store
+from . import problems, reporting, retrieval, store, writing
 
-QUERIES: dict = {**store.QUERIES, **retrieval.QUERIES, **problems.QUERIES}
-ORACLE: dict[str, str] = {**store.ORACLE, **retrieval.ORACLE}
+PARTS = (store, retrieval, writing, reporting, problems)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for part in PARTS for name, sql in getattr(part, "ORACLE", {}).items()}
 FLAGSHIP = "hybrid_rank"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from ..operators import context, dense, eligibility, evaluation, expansion, lexical, ranking, screens, spans
+from ..operators import context, dense, eligibility, evaluation, expansion, legacy, lexical, ranking, screens, spans
 from ..operators.eligibility import active, reviewed, visible
 from ..sources.tables import table
 from .store import ACTIVE, AT_KNOWN, IDENTITY, NOW, SCOPES, _KNOWN, _PRESENT, at
@@ -70,12 +70,26 @@ def bm25_rank(spark, sf):
     return _bm25_top(spark, sf).select("query_id", "fact_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
+def opening_queries(spark, sf):
+    """A stated query set: the first two tokens of the facts whose identifier is divisible by 20."""
+    f = table(spark, sf, "facts").where("fact_id % 20 = 0 and content is not null")
+    return f.select(F.col("fact_id").alias("query_id"), F.array_join(F.slice(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 2), " ").alias("query"))
+
+
+_OPENING = """
+q AS (SELECT fact_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(content), '[a-z0-9]+'), 1, 2), ' ') AS query FROM facts WHERE fact_id % 20 = 0 AND content IS NOT NULL),
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS token FROM q)"""
+
+
 @query(f"""
-WITH {_Q}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1),
-p AS (SELECT fact_id, unnest(list_distinct({_TOK})) AS token FROM facts WHERE {ACTIVE})
-SELECT query_id, fact_id FROM qt JOIN p USING (token) JOIN need USING (query_id) GROUP BY query_id, fact_id, need HAVING count(*) = need""")
+WITH {_OPENING}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1),
+p AS (SELECT fact_id, unnest(list_distinct({_TOK})) AS token FROM facts WHERE {ACTIVE}),
+h AS (SELECT query_id, fact_id FROM qt JOIN p USING (token) JOIN need USING (query_id) GROUP BY query_id, fact_id, need HAVING count(*) = need),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(trust_score, 0) DESC, fact_id) AS rank FROM h JOIN facts USING (fact_id)) SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def fts_and_search(spark, sf):
-    return lexical.all_tokens(table(spark, sf, "facts"), search_queries(spark, sf), active())
+    """Current facts that hold every token of the query: ten each, the most trusted first."""
+    f = table(spark, sf, "facts")
+    return lexical.most_trusted(lexical.all_tokens(f, opening_queries(spark, sf), active()), f, 10)
 
 
 _OVER = """
@@ -84,9 +98,13 @@ o AS (SELECT query_id, fact_id, CAST(count(*) AS DOUBLE) AS shared, CAST(any_val
   JOIN (SELECT fact_id, len(l) AS dn, unnest(l) AS token FROM (SELECT fact_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS l FROM facts WHERE content IS NOT NULL)) USING (token) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_Q}, {_OVER} SELECT query_id, fact_id, round(shared / (qn + dn - shared), 6) AS jaccard, round(shared / qn, 6) AS coverage FROM o WHERE shared / (qn + dn - shared) >= 0.05")
+@query(f"""
+WITH {_Q}, {_OVER}, j AS (SELECT query_id, fact_id, shared / (qn + dn - shared) AS x, shared / qn AS y FROM o WHERE shared / (qn + dn - shared) >= 0.05),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, fact_id DESC) AS rank FROM j)
+SELECT query_id, fact_id, round(x, 6) AS jaccard, round(y, 6) AS coverage FROM r WHERE rank <= 10""")
 def jaccard_search(spark, sf):
-    o = lexical.overlap(table(spark, sf, "facts"), search_queries(spark, sf), 0.05)
+    """The ten facts of each query that share the largest part of their tokens."""
+    o = lexical.top(lexical.overlap(table(spark, sf, "facts"), search_queries(spark, sf), 0.05), "jaccard", 10)
     return o.select("query_id", "fact_id", F.round("jaccard", 6).alias("jaccard"), F.round("coverage", 6).alias("coverage"))
 
 
@@ -131,7 +149,7 @@ def hybrid_lexical_only(spark, sf):
     return r.select("query_id", "fact_id", "rank", "fused", "score")
 
 
-@query(f"WITH {_LEXICAL} SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank, round(fts, 6) AS fts, round(jaccard, 6) AS jaccard, fused, score, CASE WHEN score < 0.12 THEN 'below_floor' WHEN rank > 10 THEN 'beyond_limit' END AS excluded FROM y")
+@query(f"WITH {_LEXICAL}, y0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, trust_score DESC, fact_id) AS rank FROM z) SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank, round(fts, 6) AS fts, round(jaccard, 6) AS jaccard, fused, score, CASE WHEN score < 0.12 THEN 'below_floor' WHEN rank > 10 THEN 'beyond_limit' END AS excluded FROM y0 WHERE rank <= 48")
 def explain_rows(spark, sf):
     f, q = table(spark, sf, "facts"), search_queries(spark, sf)
     return ranking.explain(ranking.candidates(f, q, SCOPES), f, q, NOW)
@@ -145,17 +163,51 @@ def hybrid_rank(spark, sf):
     return r.select("query_id", "fact_id", "rank", "lexical_rank", "dense_rank", "fused", "score", "ambiguous")
 
 
-@query()
+def _pruned_sql() -> str:
+    """BM25 with the queries' function words left out, unless there is nothing else."""
+    stop = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
+    qt = f"""qs AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS l, list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), lambda x: x NOT IN {stop}) AS r FROM q),
+qt AS (SELECT query_id, unnest(CASE WHEN len(r) > 0 THEN r ELSE l END) AS token FROM qs)"""
+    return _BM25.replace("qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS token FROM q)", qt)
+
+
+_LEGACY = f"""{_pruned_sql()}, {_TOP},
+lc AS (SELECT query_id, fact_id, bm25 / max(bm25) OVER (PARTITION BY query_id) AS fts FROM t WHERE rank <= 30),
+lq AS (SELECT query_id, l AS q FROM qs), lt AS (SELECT fact_id, list_distinct({_TOK}) AS t, trust_score, updated_at, created_at, content FROM facts),
+ls AS (SELECT query_id, fact_id, round((0.4 * fts + 0.3 * CASE WHEN len(t) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q, t)) AS DOUBLE) / len(list_distinct(list_concat(q, t))) END + 0.3 * 0.5) * coalesce(trust_score, 0.0), 6) AS score FROM lc JOIN lt USING (fact_id) JOIN lq USING (query_id)),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id DESC) AS rank FROM ls)"""
+
+
+@query(f"WITH {_LEGACY} SELECT query_id, fact_id, score, CAST(rank AS INTEGER) AS rank FROM lr WHERE rank <= 10")
 def legacy_plus_rank(spark, sf):
     """The older ranking: BM25 relative to the query's best, token overlap, neutral phase score, times trust."""
-    f, q = table(spark, sf, "facts"), search_queries(spark, sf)
-    b = lexical.bm25(f, q, _keep())
-    o = lexical.overlap(f, q).select("query_id", "fact_id", "jaccard")
-    from pyspark.sql import Window
+    return legacy.plus(table(spark, sf, "facts"), search_queries(spark, sf), _keep(), NOW)
 
-    r = b.withColumn("rel", F.col("bm25") / F.max("bm25").over(Window.partitionBy("query_id"))).join(o, ["query_id", "fact_id"], "left").join(f.select("fact_id", "trust_score"), "fact_id")
-    r = r.withColumn("score", F.round((0.4 * F.col("rel") + 0.3 * F.coalesce("jaccard", F.lit(0.0)) + 0.3 * 0.5) * F.coalesce("trust_score", F.lit(0.0)), 6))
-    return lexical.top(r, "score", 10).select("query_id", "fact_id", "score", "rank")
+
+@query()
+def legacy_boosted_rank(spark, sf):
+    """The older ranking with its entity boost and its decay."""
+    f = table(spark, sf, "facts")
+    e = table(spark, sf, "entities").where("name is not null").select(F.col("entity_id").alias("object_entity_id"), F.lower("name").alias("n"))
+    names = f.where("object_entity_id is not null").select("fact_id", "object_entity_id").join(e, "object_entity_id").groupBy("fact_id").agg(F.collect_set("n").alias("names"))
+    return legacy.plus(f, search_queries(spark, sf), _keep(), NOW, 10, names, 0.2, 180.0)
+
+
+@query(f"""
+WITH {_LEGACY}, {_PRESENT}, x AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM v),
+dn AS (SELECT a.fact_id AS query_id, b.fact_id, list_cosine_similarity(a.e, b.e) AS c FROM x a, x b WHERE a.fact_id % 20 = 0), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, fact_id) AS rank FROM dn), dk AS (SELECT * FROM dr WHERE rank <= 100),
+h AS (SELECT query_id, fact_id, score FROM lr WHERE rank <= 10),
+ex AS (SELECT dk.*, row_number() OVER (PARTITION BY query_id ORDER BY dk.rank) AS n FROM dk JOIN facts f USING (fact_id) WHERE (query_id, fact_id) NOT IN (SELECT query_id, fact_id FROM h) AND conflict_group IS NULL AND invalid_at IS NULL AND trust_score >= 0.3),
+bo AS (SELECT query_id, fact_id, score FROM h UNION ALL SELECT query_id, fact_id, 0.0 FROM ex WHERE n <= 20),
+bs AS (SELECT query_id, fact_id, round(0.6 * bo.score + coalesce(0.4 * (c + 1) / 2, 0.0), 6) AS score, replace(coalesce(updated_at, created_at, ''), ' ', 'T') AS at_ FROM bo LEFT JOIN dk USING (query_id, fact_id) JOIN facts USING (fact_id)),
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, at_ DESC, fact_id) AS rank FROM bs),
+bm AS (SELECT query_id FROM br GROUP BY 1 HAVING max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2) < 0.001)
+SELECT query_id, fact_id, score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM bm)""")
+def legacy_blend_rank(spark, sf):
+    """The older ranking blended with vectors; a query whose best two nearly tie abstains."""
+    f, q = table(spark, sf, "facts"), search_queries(spark, sf)
+    d = dense.top_k(_vectors(spark, sf), _query_vectors(spark, sf), 100)
+    return legacy.blended(legacy.plus(f, q, _keep(), NOW), d, f, 0.4, min_margin=0.001)
 
 
 # ---- evaluation ---------------------------------------------------------------------------------
@@ -293,30 +345,48 @@ def _lit(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-_PLAIN = r"regexp_replace(coalesce({0}, ''), '\p{{Cf}}', '', 'g')"
+def _normal_sql() -> str:
+    """Compatibility forms of plain characters, by rule from the Unicode data: single ones translated, longer ones replaced."""
+    from unicodedata import normalize
+
+    src, dst, out = "", "", "{0}"
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800))):
+        to = normalize("NFKC", c)
+        if to != c and to.isascii():
+            if len(to) == 1:
+                src, dst = src + c, dst + to
+            elif to.isalpha():
+                out = f"replace({out}, '{c}', '{to}')"
+    quoted = dst.replace("'", "''").replace("{", "{{").replace("}", "}}")
+    return f"translate({out}, '{src}', '{quoted}')"
 
 
-@query(f"SELECT doc_id, {_sql_match('text', screens.CREDENTIALS)} AS shaped FROM documents WHERE text IS NOT NULL")
+_NORMAL = _normal_sql()
+_PLAIN = "regexp_replace(" + _NORMAL.replace("{0}", "coalesce({0}, '')") + r", '\p{{Cf}}', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_sql_match('x', screens.CREDENTIALS)} AS shaped FROM (SELECT doc_id, {_NORMAL.format('text')} AS x FROM documents WHERE text IS NOT NULL)")
 def credential_screen(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
+    d = screens.normal(table(spark, sf, "documents").where("text is not null"), "text")
     return d.select("doc_id", screens.credential_shaped(F.col("text")).alias("shaped"))
 
 
 _T = _PLAIN.format("text")
 
 
-@query(f"SELECT doc_id, NOT regexp_matches({_T}, {_lit(screens.VISIBLE)}) OR {_sql_match(_T, (screens.STRUCTURE, screens.CONTROL, screens.DISCLOSURE))} AS shaped FROM documents")
+@query(f"SELECT doc_id, NOT regexp_matches(x, {_lit(screens.VISIBLE)}) OR {_sql_match('x', (screens.STRUCTURE, screens.CONTROL, screens.DISCLOSURE))} AS shaped FROM (SELECT doc_id, {_T} AS x FROM documents)")
 def injection_screen(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", screens.instruction_shaped(F.col("text")).alias("shaped"))
+    d = screens.normal(table(spark, sf, "documents"), "text")
+    return d.select("doc_id", screens.instruction_shaped(F.col("text")).alias("shaped"))
 
 
 _C = _PLAIN.format("content")
 
 
 @query(f"""
-SELECT coalesce(category, 'none') AS category, CASE WHEN {_sql_match("coalesce(content, '')", screens.CREDENTIALS)} THEN 'credential_shaped'
-  WHEN NOT regexp_matches({_C}, {_lit(screens.VISIBLE)}) OR {_sql_match(_C, (screens.STRUCTURE, screens.LEADING_CONTROL, screens.DISCLOSURE))} THEN 'instruction_shaped_content'
-  WHEN {_sql_match(_C, (screens.TASK,))} THEN 'task_shaped_content' ELSE 'kept' END AS reason, CAST(count(*) AS BIGINT) AS n FROM facts GROUP BY 1, 2""")
+SELECT coalesce(category, 'none') AS category, CASE WHEN {_sql_match('y', screens.CREDENTIALS)} THEN 'credential_shaped'
+  WHEN NOT regexp_matches(x, {_lit(screens.VISIBLE)}) OR {_sql_match('x', (screens.STRUCTURE, screens.LEADING_CONTROL, screens.DISCLOSURE))} THEN 'instruction_shaped_content'
+  WHEN {_sql_match('x', (screens.TASK,))} THEN 'task_shaped_content' ELSE 'kept' END AS reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT category, {_C} AS x, {_NORMAL.format("coalesce(content, '')")} AS y FROM facts) GROUP BY 1, 2""")
 def proposal_screen(spark, sf):
     return screens.screen_report(table(spark, sf, "facts"), "content", "category")
 
@@ -338,14 +408,10 @@ def budget_prefix(spark, sf):
     return context.budget_prefix(_ranked(spark, sf), 300).select("query_id", "fact_id", "rank", "used")
 
 
-@query()
-def context_pack(spark, sf):
-    return context.pack(_ranked(spark, sf), 400)
-
-
 @query()
 def mmr_select(spark, sf):
-    return context.mmr(_ranked(spark, sf), 8)
+    """Diverse facts of each query, by vectors where a ranking has all of them, else by shared tokens."""
+    return context.mmr(_ranked(spark, sf).join(_vectors(spark, sf).select("fact_id", "embedding"), "fact_id", "left"), 8)
 
 
 # ---- claims, cases, gates -----------------------------------------------------------------------
@@ -371,8 +437,8 @@ def _restatement_sql() -> str:
     return f"""
 WITH r AS (SELECT fact_id, scope, list_sort(list_distinct(list_filter(t, lambda x: x NOT IN {_words_sql(STOPWORDS)}))) AS c, list_filter(t, lambda x: regexp_matches(x, '[0-9]')) AS v,
   len(list_filter(t, lambda x: x IN {_words_sql(NEGATIONS)})) > 0 AS neg, list_distinct(t) AS s FROM (SELECT fact_id, scope, {_WORDS} AS t FROM facts WHERE {ACTIVE} AND content IS NOT NULL))
-SELECT a.fact_id AS newer, b.fact_id AS older FROM r a JOIN r b ON a.scope = b.scope AND a.c = b.c AND a.v = b.v AND a.neg = b.neg AND a.fact_id > b.fact_id
-WHERE len(a.s) > 0 AND CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) >= 0.8"""
+SELECT a.fact_id AS newer, min(b.fact_id) AS older FROM r a JOIN r b ON a.scope = b.scope AND a.c = b.c AND a.v = b.v AND a.neg = b.neg AND a.fact_id > b.fact_id
+WHERE len(a.s) > 0 AND CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) >= 0.8 GROUP BY 1"""
 
 
 @query(_restatement_sql())
@@ -493,7 +559,7 @@ def write_idempotency(spark, sf):
 def typed_proposals(spark, sf):
     from ..operators.extraction import proposals
 
-    return proposals(table(spark, sf, "facts"))
+    return proposals(screens.normal(table(spark, sf, "facts"), "content"))
 
 
 @query()
@@ -514,10 +580,13 @@ def hash_embeddings(spark, sf):
 # ---- around the ranked list ---------------------------------------------------------------------
 
 @query(f"""
-WITH {_Q}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), p AS (SELECT fact_id, unnest(list_distinct({_TOK})) AS token FROM facts WHERE {_KNOWN})
-SELECT query_id, fact_id FROM qt JOIN p USING (token) JOIN need USING (query_id) GROUP BY query_id, fact_id, need HAVING count(*) = need""")
+WITH {_OPENING}, need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1), p AS (SELECT fact_id, unnest(list_distinct({_TOK})) AS token FROM facts WHERE {_KNOWN}),
+h AS (SELECT query_id, fact_id FROM qt JOIN p USING (token) JOIN need USING (query_id) GROUP BY query_id, fact_id, need HAVING count(*) = need),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(trust_score, 0) DESC, fact_id) AS rank FROM h JOIN facts USING (fact_id)) SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def asof_search(spark, sf):
-    return lexical.all_tokens(table(spark, sf, "facts"), search_queries(spark, sf), eligibility.as_of(known_at=AT_KNOWN))
+    """Facts as they were known at an instant that hold every token of the query."""
+    f = table(spark, sf, "facts")
+    return lexical.most_trusted(lexical.all_tokens(f, opening_queries(spark, sf), eligibility.as_of(known_at=AT_KNOWN)), f, 10)
 
 
 @query(f"""
@@ -552,7 +621,7 @@ def reflection_clusters(spark, sf):
 
 @query()
 def entity_expansion_rank(spark, sf):
-    return expansion.entity_expansion(_ranked(spark, sf), table(spark, sf, "facts"))
+    return expansion.entity_expansion(_ranked(spark, sf), table(spark, sf, "facts"), table(spark, sf, "entities"))
 
 
 @query("""

@@ -445,12 +445,11 @@ _PRESENT = f"""v AS (SELECT fact_id, min(embedding) AS embedding FROM fact_embed
 
 @query(f"""
 WITH {_PRESENT}, n AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM facts JOIN v USING (fact_id) WHERE {ACTIVE} ORDER BY fact_id DESC LIMIT 2000),
-c AS (SELECT a.fact_id AS a, b.fact_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS cosine FROM n a JOIN n b ON a.fact_id < b.fact_id)
+c AS (SELECT a.fact_id AS a, b.fact_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM n a JOIN n b ON a.fact_id < b.fact_id)
 SELECT a, b, cosine FROM c WHERE cosine >= 0.5 AND cosine < 0.9""")
 def cosine_band_pairs(spark, sf):
     """Pairs of the newest two thousand active facts in a band of cosines."""
-    b = dedup.band_pairs(table(spark, sf, "facts"), _vectors(spark, sf), 0.49999, 0.91)
-    return b.select("a", "b", F.round("cosine", 5).alias("cosine")).where("cosine >= 0.5 and cosine < 0.9")
+    return dedup.band_pairs(table(spark, sf, "facts"), _vectors(spark, sf), 0.5, 0.9)
 
 
 #: The test vectors of facts that the merge guard lets meet are far apart.
@@ -472,7 +471,7 @@ g AS (SELECT fact_id, scope, list_filter(t, lambda x: regexp_matches(x, '[0-9]')
         FROM (SELECT fact_id, scope, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM facts WHERE {ACTIVE} AND content IS NOT NULL))),
 p AS (SELECT embedding_identity, fact_id, min(embedding) AS embedding FROM fact_embeddings WHERE embedding IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
-near AS (SELECT a, b, min(cosine) AS low, max(cosine) AS cosine FROM (SELECT x.fact_id AS a, y.fact_id AS b, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 5) AS cosine
+near AS (SELECT a, b, min(cosine) AS low, max(cosine) AS cosine FROM (SELECT x.fact_id AS a, y.fact_id AS b, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 6) AS cosine
   FROM g x JOIN g y ON x.scope = y.scope AND x.vals = y.vals AND x.neg = y.neg AND x.states = y.states AND x.fact_id < y.fact_id JOIN p v ON v.fact_id = x.fact_id JOIN p w ON w.fact_id = y.fact_id AND w.embedding_identity = v.embedding_identity)
   WHERE cosine >= {NEAR} GROUP BY 1, 2)"""
 
@@ -486,7 +485,7 @@ def _near(spark, sf):
 @query(f"WITH {_guard_sql()} SELECT a, b, cosine FROM near")
 def near_dup_pairs(spark, sf):
     """Pairs of active facts of one scope, guard and vector space whose vectors are near."""
-    return _near(spark, sf).groupBy("a", "b").agg(F.round(F.max("cosine"), 5).alias("cosine"))
+    return _near(spark, sf).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 _CLUSTERS = f"""WITH RECURSIVE {_guard_sql()},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anchors, dedup, embedding, jobs, keys, lexical, prompts, provenance, reflection, screens, writes
 from ..operators.dense import present
 from ..sources.tables import table
-from .retrieval import _BM25, _TOP, _bm25_top, _keep, _lit, _ranked, _sql_match, _words_sql
+from .retrieval import _BM25, _C, _TOP, _bm25_top, _keep, _lit, _ranked, _sql_match, _words_sql
 from .store import _JOBS, _PRESENT, ACTIVE, IDENTITY, NOW, _jobs
 
 QUERIES: dict = {}
@@ -357,7 +357,7 @@ def fitted_texts(spark, sf):
 
 @query(f"""
 SELECT fact_id, CASE WHEN correction_status = 'unreviewed' THEN 'unreviewed_content' WHEN NOT regexp_matches(t, {_lit(screens.VISIBLE)}) OR {_sql_match('t', (screens.STRUCTURE, screens.CONTROL, screens.DISCLOSURE))} THEN 'instruction_shaped_content' END AS reason
-FROM (SELECT fact_id, correction_status, regexp_replace(coalesce(content, ''), '\\p{{Cf}}', '', 'g') AS t FROM facts)""")
+FROM (SELECT fact_id, correction_status, {_C} AS t FROM facts)""")
 def prompt_rejections(spark, sf):
     f = screens.normal(table(spark, sf, "facts"), "content")
     return f.select("fact_id", prompts.rejection(F.col("content"), F.col("correction_status")).alias("reason"))
@@ -369,7 +369,7 @@ def temporally_valid(spark, sf):
 
 
 @query()
-def prompt_pack(spark, sf):
+def context_pack(spark, sf):
     """The prompt of every query: reviewed first, receipts of conflicts, one line a slot, unsafe texts left out."""
     from ..operators import expansion
     from .retrieval import search_queries
