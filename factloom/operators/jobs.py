@@ -125,7 +125,7 @@ def envelopes(payloads: DataFrame) -> DataFrame:
     shape = "version int, client_id string, session_id string, transcript string"
     e = F.from_json("payload", shape)
     reason = (
-        F.when(F.octet_length("payload") > MAX_PAYLOAD, "oversized").when(F.try_parse_json("payload").isNull() | ~F.ltrim("payload").startswith("{"), "legacy_payload").when(~F.col("e.version").eqNullSafe(1), "unsupported_version")
+        F.when(F.octet_length("payload") > MAX_PAYLOAD, "oversized").when(F.try_parse_json(F.concat(F.lit("["), "payload", F.lit("]"))).isNull() | ~F.ltrim("payload").startswith("{"), "legacy_payload").when(~F.col("e.version").eqNullSafe(1), "unsupported_version")
         .when(F.coalesce(F.trim("e.client_id"), F.lit("")) == "", "missing_client").when(F.coalesce(F.trim("e.session_id"), F.lit("")) == "", "missing_session")
         .when(F.coalesce(F.trim("e.transcript"), F.lit("")) == "", "missing_transcript")
     )

@@ -155,7 +155,22 @@ def explain_rows(spark, sf):
     return ranking.explain(ranking.candidates(f, q, SCOPES), f, q, NOW)
 
 
-@query()
+_HYBRID = f"""{_BM25}, {_TOP}, {_OVER}, {_PRESENT}, x AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM v),
+dn AS (SELECT a.fact_id AS query_id, b.fact_id, list_cosine_similarity(a.e, b.e) AS c FROM x a, x b WHERE a.fact_id % 20 = 0 AND b.fact_id IN (SELECT fact_id FROM facts WHERE {_ELIGIBLE})),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, fact_id) AS rank FROM dn), dk AS (SELECT query_id, fact_id, greatest(0.0, c) AS dense FROM dr WHERE rank <= 100),
+lx AS (SELECT query_id, t.fact_id, 0.25 / t.rank + 0.75 * coalesce(shared / qn, 0.0) AS fts, coalesce(shared / (qn + dn - shared), 0.0) AS jaccard FROM t LEFT JOIN o USING (query_id, fact_id)),
+al AS (SELECT query_id, fact_id, dense, round(0.35 * coalesce(fts, 0.0) + 0.25 * coalesce(jaccard, 0.0), 9) AS lexical FROM lx FULL JOIN dk USING (query_id, fact_id)),
+rk AS (SELECT *, CASE WHEN lexical > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY lexical > 0 DESC, lexical DESC, fact_id) END AS lexical_rank,
+  CASE WHEN dense >= 0.1 THEN row_number() OVER (PARTITION BY query_id ORDER BY coalesce(dense >= 0.1, FALSE) DESC, round(dense, 6) DESC NULLS LAST, fact_id) END AS dense_rank FROM al),
+fu AS (SELECT *, (coalesce(0.6 / (60 + lexical_rank), 0.0) + coalesce(0.4 / (60 + dense_rank), 0.0)) * 61 AS fused FROM rk WHERE query_id IN (SELECT query_id FROM q)),
+sc AS (SELECT query_id, fact_id, lexical_rank, dense_rank, round(fused, 6) AS fused, trust_score, scope, subject_key, predicate_key, object_value, memory_kind,
+  round(0.76 * fused + 0.05 * coalesce(trust_score, 0.0) + 0.02 * {_KIND} + 0.03 * {_RECENCY} + 0.08 * {_REVIEW}, 6) AS score FROM fu JOIN facts USING (fact_id)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, trust_score DESC, fact_id) AS rank FROM sc WHERE score >= 0.12),
+tp AS (SELECT a.query_id, a.score AS best, coalesce(a.scope = b.scope AND a.subject_key = b.subject_key AND a.predicate_key = b.predicate_key AND a.object_value IS DISTINCT FROM b.object_value AND a.memory_kind = 'state' AND b.memory_kind = 'state' AND a.score - b.score < 0.005, FALSE) AS tied
+  FROM rn a LEFT JOIN rn b ON b.query_id = a.query_id AND b.rank = 2 WHERE a.rank = 1)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank, CAST(lexical_rank AS INTEGER) AS lexical_rank, CAST(dense_rank AS INTEGER) AS dense_rank, fused, score, tied AS ambiguous FROM rn JOIN tp USING (query_id) WHERE rank <= 10 AND (NOT tied OR best - score < 0.005)")
 def hybrid_rank(spark, sf):
     """Flagship: lexical and dense lists fused for every query, with priors and the ambiguity gate."""
     f = table(spark, sf, "facts")
@@ -391,7 +406,18 @@ def proposal_screen(spark, sf):
     return screens.screen_report(table(spark, sf, "facts"), "content", "category")
 
 
-@query()
+_G = "SELECT case_id, CAST(unnest(range(0, len(facts))) AS INTEGER) AS item_no, unnest(facts) AS f FROM transcript_gate_gold"
+
+
+def _reason(x: str, y: str) -> str:
+    """SQL: why a proposal is not kept; ``x`` without format characters, ``y`` as it stands, both composed."""
+    return f"""CASE WHEN {_sql_match(y, screens.CREDENTIALS)} THEN 'credential_shaped' WHEN NOT regexp_matches({x}, {_lit(screens.VISIBLE)}) OR {_sql_match(x, (screens.STRUCTURE, screens.LEADING_CONTROL, screens.DISCLOSURE))} THEN 'instruction_shaped_content'
+  WHEN {_sql_match(x, (screens.TASK,))} THEN 'task_shaped_content' END"""
+
+
+@query(f"""
+WITH g AS ({_G}), n AS (SELECT case_id, item_no, f, {_PLAIN.format('f.content')} AS x, {_NORMAL.format("coalesce(f.content, '')")} AS y FROM g)
+SELECT case_id, item_no, f.state.kind AS kind, coalesce({_reason('x', 'y')}, CASE WHEN f.evidence_excerpt IS NULL THEN 'no_evidence' WHEN f.evidence_role <> 'user' THEN 'not_said_by_user' END, 'kept') AS verdict FROM n""")
 def gold_proposals(spark, sf):
     return screens.gold_proposals(table(spark, sf, "transcript_gate_gold"))
 
@@ -417,7 +443,48 @@ def mmr_select(spark, sf):
 # ---- claims, cases, gates -----------------------------------------------------------------------
 
 
-@query()
+def claims_sql(where: str) -> str:
+    """CTEs ``c``: each claim's tokens, values, states, stems, residue and frame, from the definitions of their words."""
+    from ..functions.text import NEGATIONS, STATE_GROUPS, STEM_SUFFIXES
+    from ..operators.contradictions import FRAMES, RESIDUE_NEGATIONS
+
+    states = _words_sql([w for g in STATE_GROUPS for w in g])
+    fits = "ends_with({t}, '{x}') AND length({t}) > {n}"
+    stems = ", ".join(f"list_transform(list_filter(base, lambda t: {fits.format(t='t', x=x, n=len(x) + 2)}), lambda t: substr(t, 1, length(t) - {len(x)}))" for x in STEM_SUFFIXES)
+    collapse = " ".join(f"WHEN {fits.format(t='t', x=x, n=len(x) + 2)} AND list_contains(subj, substr(t, 1, length(t) - {len(x)})) THEN substr(t, 1, length(t) - {len(x)})" for x in STEM_SUFFIXES)
+    return f"""c0 AS (SELECT fact_id, scope, subject_key, regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+') AS tok FROM facts WHERE {ACTIVE} AND content IS NOT NULL AND {where}),
+c1 AS (SELECT *, list_filter(tok, lambda t: regexp_matches(t, '[0-9]')) AS val, list_distinct(list_filter(tok, lambda t: t NOT IN {_words_sql(STOPWORDS)})) AS words, len(list_filter(tok, lambda t: t IN {_words_sql(NEGATIONS)})) > 0 AS neg,
+  len(list_filter(tok, lambda t: t IN {_words_sql(FRAMES)})) > 0 AS framed FROM c0),
+c2 AS (SELECT *, list_filter(words, lambda t: t IN {states}) AS states, list_filter(words, lambda t: t NOT IN {states}) AS base FROM c1),
+c3 AS (SELECT *, list_distinct(list_concat(base, {stems})) AS subj, list_sort(list_filter(words, lambda t: t NOT IN {states} AND NOT list_contains(val, t))) AS frame FROM c2),
+c AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(subj, lambda t: t NOT IN {_words_sql(RESIDUE_NEGATIONS)}), lambda t: CASE {collapse} ELSE t END))) AS residue FROM c3)"""
+
+
+def _polarity_sql() -> str:
+    from ..functions.text import STATE_GROUPS
+
+    part = "list_sort(list_filter({0}.states, lambda t: t IN {1}))"
+    tests = [f"(len({part.format('a', _words_sql(g))}) > 0 AND len({part.format('b', _words_sql(g))}) > 0 AND {part.format('a', _words_sql(g))} <> {part.format('b', _words_sql(g))})" for g in STATE_GROUPS]
+    return f"(list_has_any(a.subj, b.subj) AND ({' OR '.join(tests)} OR a.neg <> b.neg))"
+
+
+_UPDATE = f"(CASE WHEN a.val = b.val OR len(a.val) = 0 OR len(b.val) = 0 THEN {_polarity_sql()} ELSE a.frame = b.frame END)"
+
+
+def _contradiction_sql() -> str:
+    from ..operators.contradictions import COPULAS, FRAMES, PREFIX
+
+    frames, verbs = _words_sql(FRAMES), _words_sql([w for w in FRAMES if w not in COPULAS])
+    return f"""
+WITH {claims_sql("(memory_kind IS NULL OR memory_kind <> 'state')")},
+p AS (SELECT a.fact_id AS newer, b.fact_id AS older, a.tok AS x, b.tok AS y, {_polarity_sql()} AS turned, len(a.residue) > 0 AND a.residue = b.residue AS same, a.framed AND b.framed AS framed, {_UPDATE} AS updated, list_has_any(a.subj, b.subj) AS about,
+  coalesce(list_filter(range(1, least(len(a.tok), len(b.tok)) + 1), lambda i: a.tok[i] <> b.tok[i])[1] - 1, least(len(a.tok), len(b.tok))) AS n FROM c a JOIN c b ON a.scope = b.scope AND a.fact_id > b.fact_id),
+r AS (SELECT *, list_slice(x, n + 1, len(x)) AS rx, list_slice(y, n + 1, len(y)) AS ry FROM p)
+SELECT newer, older FROM r WHERE CASE WHEN turned THEN same ELSE framed AND (updated OR (n >= {PREFIX} AND len(rx) > 0 AND len(ry) > 0 AND NOT list_has_any(rx, ry) AND len(list_filter(list_concat(rx, ry), lambda t: t IN {frames})) = 0
+  AND (n >= 3 OR len(list_filter(list_slice(x, 1, n), lambda t: t IN {verbs})) > 0 OR len(list_filter(list_concat(rx, ry), lambda t: NOT regexp_matches(t, '[0-9]'))) = 0) AND about)) END"""
+
+
+@query(_contradiction_sql())
 def contradiction_pairs(spark, sf):
     from ..operators.contradictions import contradiction_pairs as pairs
 
@@ -555,14 +622,25 @@ def write_idempotency(spark, sf):
     return idempotent(o, "client_id", "session_id", "content_sha256", "observation_id").select("client_id", "session_id", "observation_id", "outcome")
 
 
-@query()
+@query(f"""
+WITH k AS (SELECT fact_id, memory_kind, object_value, confidence, regexp_replace(lower(trim(subject_key)), '\\s+', '_', 'g') AS s, regexp_replace(lower(trim(predicate_key)), '[\\s-]+', '_', 'g') AS p, {_C} AS x, {_NORMAL.format("coalesce(content, '')")} AS y FROM facts)
+SELECT fact_id, coalesce(memory_kind IN ('state', 'preference', 'commitment', 'event') AND regexp_matches(s, '^[a-z0-9][a-z0-9._:/-]{{0,127}}$') AND regexp_matches(p, '^[a-z0-9][a-z0-9._-]{{0,63}}$') AND object_value IS NOT NULL AND coalesce(confidence, 0.0) >= 0.8, FALSE) AS typed,
+  coalesce({_reason('x', 'y')}, 'kept') AS verdict FROM k""")
 def typed_proposals(spark, sf):
     from ..operators.extraction import proposals
 
     return proposals(screens.normal(table(spark, sf, "facts"), "content"))
 
 
-@query()
+def _review_sql() -> str:
+    words = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), lambda x: x NOT IN " + _words_sql(STOPWORDS) + "))"
+    shaped = lambda c: f"(NOT regexp_matches(regexp_replace(coalesce({c}, ''), '\\p{{Cf}}', '', 'g'), {_lit(screens.VISIBLE)}) OR {_sql_match(f'regexp_replace(coalesce({c}, {chr(39) * 2}), {_lit(screens.FORMAT_CHARS)}, {chr(39) * 2}, {_lit(chr(103))})', (screens.STRUCTURE, screens.CONTROL, screens.DISCLOSURE))})"
+    return f"""
+WITH g AS ({_G}), w AS (SELECT case_id, item_no, f.content AS c, coalesce(f.evidence_excerpt, '') AS e, {words.format('f.content')} AS cw, {words.format('f.evidence_excerpt')} AS ew FROM g)
+SELECT case_id, item_no, trim(e) = '' OR length(e) > 2000 OR len(cw) = 0 OR {shaped('e')} OR {shaped('c')} OR NOT list_has_any(cw, ew) AS must_review FROM w"""
+
+
+@query(_review_sql())
 def evidence_review(spark, sf):
     """Gold facts whose excerpt cannot carry the claim."""
     from ..operators.extraction import must_review
@@ -630,7 +708,13 @@ def tune_holdout(spark, sf):
     return expansion.tune_holdout(table(spark, sf, "facts").select("fact_id"), "fact_id")
 
 
-@query()
+VALUE_UPDATES = f"""WITH {claims_sql("(memory_kind IS NULL OR memory_kind <> 'state') AND subject_key IS NOT NULL")},
+vu AS (SELECT a.fact_id AS newer, b.fact_id AS older FROM c a JOIN c b ON a.scope = b.scope AND a.subject_key = b.subject_key AND a.fact_id > b.fact_id WHERE {_UPDATE})"""
+
+
+@query(VALUE_UPDATES + """, m AS (SELECT older AS fact_id, max(newer) AS superseded_by FROM vu GROUP BY 1)
+SELECT m.fact_id, m.superseded_by, '2026-01-01T00:00:00Z' AS invalid_at, coalesce(o.valid_to, n.valid_from) AS valid_to FROM m JOIN facts o ON o.fact_id = m.fact_id JOIN facts n ON n.fact_id = m.superseded_by
+WHERE o.superseded_by IS NULL AND o.conflict_group IS NULL AND (o.memory_kind IS NULL OR o.memory_kind <> 'state')""")
 def supersede_plan(spark, sf):
     from ..operators.contradictions import value_update_pairs
 
@@ -638,6 +722,14 @@ def supersede_plan(spark, sf):
     return expansion.supersede_plan(f, value_update_pairs(f.where("memory_kind is null or memory_kind != 'state'")), "2026-01-01T00:00:00Z")
 
 
+@query(VALUE_UPDATES + " SELECT newer, older FROM vu")
+def value_updates(spark, sf):
+    """Untyped facts that give another one's subject a new value or the opposite polarity."""
+    from ..operators.contradictions import value_update_pairs
+
+    return value_update_pairs(table(spark, sf, "facts").where("memory_kind is null or memory_kind != 'state'"))
+
+
 @query("SELECT conflict_group, CAST(count(*) AS BIGINT) AS members, max(fact_id) AS newest FROM facts WHERE conflict_group IS NOT NULL GROUP BY 1")
 def open_conflicts(spark, sf):
     f = table(spark, sf, "facts").where("conflict_group is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bitemporal, contradictions, dedup, eligibility, erasure, projections, provenance, queues, slots
+from ..operators import bitemporal, dedup, eligibility, erasure, projections, provenance, queues, slots
 from ..sources import sinks
 from ..sources.tables import table
 
@@ -428,11 +428,6 @@ def near_dup_exact(spark, sf):
     return dedup.exact_duplicates(table(spark, sf, "facts"))
 
 
-@query()
-def near_dup_guard(spark, sf):
-    return dedup.guarded_blocks(table(spark, sf, "facts"))
-
-
 def _vectors(spark, sf):
     from ..operators.dense import present
 
@@ -476,6 +471,12 @@ near AS (SELECT a, b, min(cosine) AS low, max(cosine) AS cosine FROM (SELECT x.f
   WHERE cosine >= {NEAR} GROUP BY 1, 2)"""
 
 
+@query(f"WITH {_guard_sql()} SELECT scope, min(fact_id) AS first, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY scope, vals, neg, states HAVING count(*) > 1")
+def near_dup_guard(spark, sf):
+    """Blocks of active facts that the merge guard lets meet."""
+    return dedup.guarded_blocks(table(spark, sf, "facts")).select("scope", "first", "n")
+
+
 def _near(spark, sf):
     from ..operators.dense import present
 
@@ -557,11 +558,6 @@ def merge_guard(spark, sf):
     return n.join(dedup.mergeable(f).agg(F.count(F.lit(1)).alias("_a"))).select("dropped", (F.col("_a") - F.col("dropped")).alias("stay"))
 
 
-@query()
-def value_updates(spark, sf):
-    return contradictions.value_update_pairs(table(spark, sf, "facts").where("memory_kind is null or memory_kind != 'state'"))
-
-
 def _erased(spark, sf):
     return table(spark, sf, "facts").where("sensitivity = 'sensitive'").select("fact_id")
 

@@ -301,7 +301,25 @@ def named_queries(spark, sf):
     return f.select(F.col("fact_id").alias("query_id"), F.concat(F.lit("What of "), F.array_join(F.slice(F.split(F.trim("content"), r"\s+"), 1, 4), " ")).alias("query"))
 
 
-@query()
+def _match_sql() -> str:
+    short, full = list(anchors.MONTH_ALIASES), list(anchors.MONTH_ALIASES.values())
+    months = ", ".join(f"CASE WHEN list_contains(t, '{a}') THEN '{b}' END, CASE WHEN list_contains(t, '{b}') THEN '{a}' END" for a, b in zip(short, full, strict=True))
+    grams = "list_transform(range(1, greatest(len(t) - {n} + 2, 1)), lambda i: array_to_string(list_slice(t, i, i + {n} - 1), ''))"
+    return f"""mt AS (SELECT fact_id, list_distinct(list_concat(t, list_filter([{months}], lambda x: x IS NOT NULL), {grams.format(n=2)}, {grams.format(n=3)})) AS m
+  FROM (SELECT fact_id, regexp_extract_all(lower(coalesce(content, '') || ' ' || coalesce(tags, '')), '[a-z0-9]+') AS t FROM facts))"""
+
+
+_NAMED = f"""q AS (SELECT fact_id AS query_id, 'What of ' || array_to_string(list_slice(string_split_regex(trim(content, ' '), '\\s+'), 1, 4), ' ') AS query FROM facts WHERE fact_id % 20 = 0 AND content IS NOT NULL),
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS token FROM q)"""
+_NAMED_BM25 = _NAMED + _BM25[_BM25.index(",\nd AS ("):]
+_QUERY_ANCHORS = _ANCHOR_SQL.replace("SELECT fact_id, regexp_extract_all(content, '[A-Za-z][A-Za-z0-9_-]*|[0-9]+') AS w FROM facts WHERE content IS NOT NULL", "SELECT query_id AS fact_id, regexp_extract_all(query, '[A-Za-z][A-Za-z0-9_-]*|[0-9]+') AS w FROM q").replace("f AS (SELECT fact_id, min(i)", "fi AS (SELECT fact_id, min(i)").replace("FROM n LEFT JOIN f USING", "FROM n LEFT JOIN fi USING")
+_HITS = f"""{_NAMED_BM25}, {_TOP}, {_QUERY_ANCHORS}, {_match_sql()}, qa AS (SELECT fact_id AS query_id, list(anchor) AS a, list(anchor) FILTER (WHERE anchor <> 'project') AS ra FROM a GROUP BY 1),
+hh AS (SELECT t.query_id, t.fact_id, t.rank, t.bm25, coalesce(len(qa.a), 0) AS n, coalesce(len(ra), 0) AS rn, len(list_intersect(coalesce(qa.a, []), m)) AS hit, len(list_intersect(coalesce(ra, []), m)) AS rhit FROM t JOIN mt USING (fact_id) LEFT JOIN qa ON qa.query_id = t.query_id)"""
+
+
+@query(f"""
+WITH {_HITS}, hb AS (SELECT *, max(hit) OVER (PARTITION BY query_id) AS best, max(rhit) OVER (PARTITION BY query_id) AS rbest FROM hh WHERE rank <= 30)
+SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank FROM hb WHERE n = 0 OR CASE WHEN best = n THEN hit = n WHEN rn > 0 AND rn < n THEN rbest > 0 AND rhit = rbest ELSE best > 0 AND hit = best END""")
 def anchor_gate(spark, sf):
     """The best thirty facts by BM25 of queries with names, and the gate's choice among them."""
     f, q = table(spark, sf, "facts"), named_queries(spark, sf)
@@ -309,7 +327,7 @@ def anchor_gate(spark, sf):
     return anchors.gate(t, f, q)
 
 
-@query()
+@query(f"WITH {_HITS} SELECT query_id, fact_id, round(bm25, 6) AS score FROM hh WHERE rank <= 10 AND hit = n")
 def strict_anchor_search(spark, sf):
     """Current facts by BM25 that hold every name of their query."""
     f, q = table(spark, sf, "facts"), named_queries(spark, sf)
