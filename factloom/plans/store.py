@@ -164,12 +164,41 @@ def slot_believed(spark, sf):
     return slots.believed_state(table(spark, sf, "facts")).select("fact_id", "scope", "subject_key", "predicate_key")
 
 
-@query()
+def _fold_sql() -> str:
+    """The write fold as a recursion over each slot's writes, with the slot's rows as a list of structs."""
+    live = "r.status IN ('current', 'closed')"
+    over = "(stop IS NULL OR r.start IS NULL OR r.start < stop) AND (r.stop IS NULL OR start IS NULL OR start < r.stop)"
+    beats = "((authority > r.authority AND (r.start IS NULL OR start >= r.start)) OR (authority = r.authority AND (r.start IS NULL OR start > r.start)))"
+    field = "seq := r.seq, value := r.value, content := r.content, authority := r.authority, start := r.start"
+    return f"""
+WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY scope, subject_key, predicate_key ORDER BY seq) AS i FROM (
+  SELECT fact_id AS seq, coalesce(scope, 'private') AS scope, subject_key, predicate_key, object_value AS value, coalesce(content, '') AS content, coalesce(source_authority, 0.5) AS authority, {at('valid_from')} AS start, {at('valid_to')} AS stop
+  FROM facts WHERE memory_kind = 'state' AND subject_key IS NOT NULL AND predicate_key IS NOT NULL AND object_value IS NOT NULL)),
+f(scope, subject_key, predicate_key, i, rows, seq, action, target, stop) AS (
+  SELECT DISTINCT scope, subject_key, predicate_key, CAST(0 AS BIGINT), CAST([] AS STRUCT(seq BIGINT, value VARCHAR, content VARCHAR, authority DOUBLE, start BIGINT, stop BIGINT, status VARCHAR, conflict BOOLEAN)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM w
+  UNION ALL
+  SELECT scope, subject_key, predicate_key, i, CASE WHEN action = 'dedup' THEN rows ELSE list_append(list_transform(rows, lambda r: CASE
+      WHEN (action = 'supersede' AND r.seq = target) OR (action = 'supersede_all' AND r.status = 'current') THEN struct_pack({field}, stop := coalesce(r.stop, start), status := 'superseded', conflict := FALSE)
+      WHEN action = 'conflict' AND r.status = 'current' AND (len(cur) > 1 OR coalesce(r.seq = target, FALSE)) THEN struct_pack({field}, stop := r.stop, status := r.status, conflict := TRUE) ELSE r END),
+    struct_pack(seq := seq, value := value, content := content, authority := authority, start := start, stop := stop, status := CASE WHEN stop IS NULL THEN 'current' ELSE 'closed' END, conflict := action = 'conflict')) END, seq, action, target, stop
+  FROM (SELECT *, CASE WHEN action = 'dedup' OR (action = 'conflict' AND open_) THEN exact.seq WHEN action IN ('supersede', 'conflict') THEN near[1].seq END AS target
+    FROM (SELECT *, CASE WHEN len(cur) = 0 AND len(near) = 0 THEN 'add' WHEN open_ THEN CASE WHEN (start IS NOT NULL AND len(list_filter(cur, lambda r: NOT {beats})) = 0) OR authority > list_max(list_transform(cur, lambda r: r.authority)) THEN 'supersede_all' ELSE 'conflict' END
+        WHEN exact IS NOT NULL THEN 'dedup' WHEN len(near) = 0 THEN 'add'
+        WHEN (authority > near[1].authority AND NOT (near[1].start IS NOT NULL AND (start IS NULL OR start < near[1].start))) OR (authority = near[1].authority AND start IS NOT NULL AND (near[1].start IS NULL OR start > near[1].start)) THEN 'supersede' ELSE 'conflict' END AS action
+      FROM (SELECT *, len(cur) > 1 OR len(list_filter(cur, lambda r: r.conflict)) > 0 AS open_, list_filter(CASE WHEN len(cur) > 0 THEN cur ELSE near END, lambda r: r.content = content OR r.value = value)[1] AS exact
+        FROM (SELECT w.scope, w.subject_key, w.predicate_key, w.i, f.rows, w.seq, w.value, w.content, w.authority, w.start, w.stop, list_filter(f.rows, lambda r: r.status = 'current') AS cur, list_filter(f.rows, lambda r: {live} AND {over.replace('stop IS NULL OR r', 'w.stop IS NULL OR r').replace('< stop)', '< w.stop)').replace('OR start IS', 'OR w.start IS').replace('OR start <', 'OR w.start <')}) AS near
+          FROM f JOIN w ON w.scope = f.scope AND w.subject_key = f.subject_key AND w.predicate_key = f.predicate_key AND w.i = f.i + 1))))),
+z AS (SELECT scope, subject_key, predicate_key, unnest(arg_max(rows, i)) AS r FROM f GROUP BY 1, 2, 3)
+SELECT f.scope, f.subject_key, f.predicate_key, f.seq, f.action, f.target, w.value, w.start, CASE WHEN f.action = 'dedup' THEN w.stop ELSE r.stop END AS stop, CASE WHEN f.action = 'dedup' THEN 'dropped' ELSE r.status END AS status, f.action <> 'dedup' AND r.conflict AS conflict
+FROM f JOIN w ON w.seq = f.seq LEFT JOIN z ON z.r.seq = f.seq WHERE f.i > 0"""
+
+
+@query(_fold_sql())
 def slot_fold_full(spark, sf):
     return slots.fold(slots.write_log(table(spark, sf, "facts")))
 
 
-@query()
+@query(f"SELECT action, CAST(count(*) AS BIGINT) AS n FROM ({_fold_sql()}) GROUP BY 1")
 def slot_fold_summary(spark, sf):
     return slots.fold_summary(slots.write_log(table(spark, sf, "facts")))
 
