@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tag_list
@@ -74,6 +74,41 @@ def dossier(facts: DataFrame, name: str) -> DataFrame:
     return facts.where(active() & F.coalesce(hit, F.lit(False))).select("fact_id", "subject_key", "predicate_key", "object_value")
 
 
+def about(name: str) -> Column:
+    """Whether a fact's subject or one of its tags is the name, in any letter case."""
+    return F.coalesce((F.lower("subject_key") == name.lower()) | F.array_contains(F.transform(tag_list(F.col("tags")), lambda t: F.lower(t)), name.lower()), F.lit(False))
+
+
+def entity_conflicts(facts: DataFrame, name: str, most: int = 10) -> DataFrame:
+    """(conflict_group, members, fact_id, place): open conflicts about the name: by their slot or tags, or through a member, with up to ``most`` members each."""
+    rows = facts.where("conflict_group is not null").withColumn("_about", about(name))
+    hit = rows.where("_about").select("conflict_group").distinct()
+    w = Window.partitionBy("conflict_group")
+    r = rows.join(hit, "conflict_group", "left_semi").withColumns({"members": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy("fact_id"))})
+    return r.where(F.col("place") <= most).select("conflict_group", "members", "fact_id", "place")
+
+
+def full_dossier(facts: DataFrame, events: DataFrame, name: str, budget: int) -> DataFrame:
+    """(section, place, item, size): current facts, events and conflicts about a name, taken in turn while the estimated tokens last.
+
+    ``events``: (fact_id, event, at) of all facts. A dossier is one answer.
+    """
+    size = F.greatest(F.lit(1), F.floor((F.length("item") + 3) / 4)).cast("long")  # so the first ``budget`` items of a section are all that can fit
+    mine = facts.where(about(name)).select("fact_id", F.coalesce("content", F.lit("")).alias("item"), active().alias("live"))
+    told = events.join(mine.select("fact_id"), "fact_id", "left_semi")
+    clash = entity_conflicts(facts, name)
+    sections = [
+        ("current", mine.where("live"), ["fact_id"], F.col("item")), ("event", told, ["at", "fact_id", "event"], F.concat_ws(" ", "at", "event", "fact_id")),
+        ("conflict", clash, ["conflict_group", "place"], F.concat_ws(" ", "conflict_group", "fact_id")),
+    ]
+    rows = None
+    for section, df, order, item in sections:
+        first = df.orderBy(*order).limit(budget).withColumn("_o", F.struct(*order)).select(F.lit(section).alias("section"), F.row_number().over(Window.partitionBy(F.lit(section)).orderBy("_o")).alias("place"), item.alias("item"))
+        rows = first if rows is None else rows.unionByName(first)
+    turn = Window.partitionBy(F.lit(1)).orderBy("place", "section").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("size", size).withColumn("used", F.sum("size").over(turn)).where(F.col("used") <= budget).select("section", "place", "item", "size")
+
+
 def entity_resolution(entities: DataFrame) -> DataFrame:
     """Names in any letter case with the smallest identifier and how often they occur."""
     return entities.where("name is not null").groupBy(F.lower(F.trim("name")).alias("name_key")).agg(F.min("entity_id").alias("entity_id"), F.count(F.lit(1)).alias("n"))

@@ -50,6 +50,22 @@ def identity_counts(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("embedding_identity").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("fact_id").alias("facts"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"))
 
 
+def uncovered(facts: DataFrame, vectors: DataFrame, jobs: DataFrame, identity: str) -> DataFrame:
+    """Active facts without a vector of the identity and without a live job for one."""
+    live = jobs.where((F.col("document_identity") == identity) & F.col("status").isin("pending", "processing")).select("fact_id")
+    return coverage_gap(facts, vectors, identity).join(live, "fact_id", "left_anti")
+
+
+def registered_sessions(contexts: DataFrame) -> DataFrame:
+    """(client_id, session_id, ..., clash): sessions of connection contexts in order of ``n``: the first context stays, branch and commit are the latest; clash where any other field changed."""
+    fixed = ["agent_id", "parent_agent_id", "project_root", "repository", "capabilities_json", "access_scopes_json"]
+    first = [F.min_by(F.struct(c), "n")[c].alias(c) for c in (*fixed, "started_at")]
+    same = F.count(F.lit(1)) > F.lit(0)
+    for c in fixed:
+        same &= F.countDistinct(F.coalesce(c, F.lit("\u0000"))) == 1
+    return contexts.groupBy("client_id", "session_id").agg(*first, F.max_by(F.struct("branch"), "n")["branch"].alias("branch"), F.max_by(F.struct("commit_sha"), "n")["commit_sha"].alias("commit_sha"), (~same).alias("clash"))
+
+
 def coverage_gap(facts: DataFrame, vectors: DataFrame, identity: str) -> DataFrame:
     """Active facts without a present vector of the identity."""
     have = vectors.where((F.col("embedding_identity") == identity) & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("fact_id")
@@ -92,7 +108,7 @@ def orphans(facts: DataFrame, observations: DataFrame, provenance: DataFrame, ve
 
 
 def row_counts(**tables: DataFrame) -> DataFrame:
-    """(name, rows, digest): row count and an order-free digest of each table's identifiers."""
+    """(name, rows): the row count of each table."""
     out = None
     for name, df in sorted(tables.items()):
         row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .contradictions import conflict_label
 from .keys import RUN_SCOPE, checked_scope
+from .numbering import numbered
 from .screens import credential_shaped, ephemeral_reason
 
 REVIEWED = ("human_corrected", "human_confirmed")
@@ -155,15 +156,8 @@ def inserted(facts: DataFrame, rows: DataFrame, order: str, at: str) -> DataFram
         return F.when(F.col(name).isNull() | F.col(name).between(0, 1), F.col(name)).otherwise(bad)
 
     text = F.when(F.trim(F.coalesce("content", F.lit(""))) != "", F.col("content")).otherwise(F.raise_error(F.lit("content is required")).cast("string"))
-    # ranks of a batch: counted per partition of a range order, so no task sees the whole batch
-    ranked = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = {r["_p"]: r["count"] for r in ranked.groupBy("_p").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.coalesce(*[F.when(F.col("_p") == p, F.lit(n)) for p, n in before.items()], F.lit(0))
-    new = ranked.withColumns({"fact_id": F.lit(top) + offset + F.col("_i"), "content": text, "scope": checked_scope(F.col("scope")), **{c: share(c) for c in ("trust_score", "confidence", "source_authority") if c in rows.columns}})
-    new = new.withColumns({"created_at": F.lit(at), "updated_at": F.lit(at)}).drop("_p", "_i")
+    new = numbered(rows, order, top, "fact_id").withColumns({"content": text, "scope": checked_scope(F.col("scope")), **{c: share(c) for c in ("trust_score", "confidence", "source_authority") if c in rows.columns}})
+    new = new.withColumns({"created_at": F.lit(at), "updated_at": F.lit(at)})
     return facts.unionByName(new.select(*[c for c in facts.columns if c in new.columns]), allowMissingColumns=True)
 
 

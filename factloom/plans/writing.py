@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anchors, dedup, embedding, jobs, keys, lexical, prompts, provenance, reflection, screens, writes
+from ..operators import anchors, context, contracts, dedup, embedding, erasure, jobs, keys, lexical, projections, prompts, provenance, reflection, screens, writes
 from ..operators.dense import present
 from ..sources.tables import table
-from .retrieval import _BM25, _C, _TOP, _bm25_top, _keep, _lit, _ranked, _sql_match, _words_sql
+from .retrieval import _BM25, _C, _G, _NORMAL, _TOP, _bm25_top, _keep, _lit, _ranked, _reason, _sql_match, _words_sql
 from .store import _JOBS, _PRESENT, ACTIVE, IDENTITY, NOW, _jobs
 
 QUERIES: dict = {}
@@ -615,3 +615,148 @@ SELECT DISTINCT "table", "column", fact_id FROM r WHERE fact_id IS NOT NULL AND
 def orphan_report(spark, sf):
     return dedup.orphans(*_orphan_tables(spark, sf))
 
+
+# ---- erasure ------------------------------------------------------------------------------------
+
+_ERASED = "(SELECT fact_id FROM facts WHERE sensitivity = 'sensitive')"
+_CLONES = f"""sh AS (SELECT observation_id FROM fact_provenance WHERE observation_id IN (SELECT observation_id FROM observations) GROUP BY 1 HAVING bool_or(fact_id IN {_ERASED}) AND bool_or(fact_id NOT IN {_ERASED})),
+cl AS (SELECT observation_id, (SELECT max(observation_id) FROM observations) + row_number() OVER (ORDER BY observation_id) AS clone_id FROM sh)"""
+
+
+def _after_erasure(spark, sf):
+    t = {n: table(spark, sf, n) for n in ("facts", "fact_provenance", "observations", "fact_embeddings")}
+    return erasure.after_erasure(t["facts"], t["fact_provenance"], t["observations"], t["fact_embeddings"], t["facts"].where("sensitivity = 'sensitive'").select("fact_id"), "e1", CLOCK)
+
+
+@query(f"""
+WITH {_CLONES}, x AS (SELECT DISTINCT observation_id FROM fact_provenance WHERE fact_id IN {_ERASED})
+SELECT o.observation_id, CASE WHEN x.observation_id IS NOT NULL THEN '[erased]' ELSE observation_content END AS observation_content, CASE WHEN x.observation_id IS NOT NULL THEN concat('erased:e1:', o.observation_id) ELSE content_sha256 END AS content_sha256 FROM observations o LEFT JOIN x USING (observation_id)
+UNION ALL SELECT clone_id, observation_content, concat('clone:e1:', observation_id) FROM observations JOIN cl USING (observation_id)""")
+def erased_evidence(spark, sf):
+    """The observations after an erasure, with clones of those that other facts rest on."""
+    return _after_erasure(spark, sf)["observations"].select("observation_id", "observation_content", "content_sha256")
+
+
+@query(f"""
+WITH {_CLONES} SELECT fact_id, CASE WHEN fact_id IN {_ERASED} THEN p.observation_id ELSE coalesce(clone_id, p.observation_id) END AS observation_id, relation, CASE WHEN fact_id IN {_ERASED} THEN NULL ELSE evidence_excerpt END AS evidence_excerpt
+FROM fact_provenance p LEFT JOIN cl USING (observation_id)""")
+def erased_edges(spark, sf):
+    return _after_erasure(spark, sf)["fact_provenance"].select("fact_id", "observation_id", "relation", "evidence_excerpt")
+
+
+@query(f"""
+WITH g AS (SELECT conflict_group, count(*) AS n FROM facts WHERE conflict_group IS NOT NULL AND fact_id NOT IN {_ERASED} GROUP BY 1)
+SELECT fact_id, CASE WHEN fact_id IN {_ERASED} THEN NULL WHEN n > 1 THEN f.conflict_group END AS conflict_group, CASE WHEN fact_id IN {_ERASED} THEN coalesce(invalid_at, '{CLOCK}') ELSE invalid_at END AS invalid_at FROM facts f LEFT JOIN g USING (conflict_group)""")
+def erased_conflicts(spark, sf):
+    return _after_erasure(spark, sf)["facts"].select("fact_id", "conflict_group", "invalid_at")
+
+
+# ---- evidence, sessions, dossiers ---------------------------------------------------------------
+
+@query(f"""
+WITH v AS (SELECT DISTINCT fact_id FROM fact_embeddings WHERE embedding_identity = '{IDENTITY}' AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT fact_id FROM facts WHERE {ACTIVE} AND fact_id NOT IN (SELECT fact_id FROM v) AND fact_id % 2 <> 0""")
+def uncovered_facts(spark, sf):
+    """Active facts without a vector and without a live job, where every even one has a job."""
+    f = table(spark, sf, "facts")
+    live = f.where("fact_id % 2 = 0").select("fact_id", F.lit(IDENTITY).alias("document_identity"), F.lit("pending").alias("status"))
+    return provenance.uncovered(f, table(spark, sf, "fact_embeddings"), live, IDENTITY)
+
+
+@query("""
+WITH c AS (SELECT observation_id AS n, client_id, session_id, client_id AS agent_id, project_root, repository, branch, commit_sha FROM observations WHERE client_id IS NOT NULL AND session_id IS NOT NULL)
+SELECT client_id, session_id, arg_min({'x': repository}, n).x AS repository, arg_max({'x': branch}, n).x AS branch, count(DISTINCT coalesce(repository, chr(0))) > 1 OR count(DISTINCT coalesce(project_root, chr(0))) > 1 AS clash FROM c GROUP BY 1, 2""")
+def registered_sessions(spark, sf):
+    """Observations as connection contexts: what is registered of each session."""
+    o = table(spark, sf, "observations").where("client_id is not null and session_id is not null")
+    c = o.select(F.col("observation_id").alias("n"), "client_id", "session_id", F.col("client_id").alias("agent_id"), F.lit(None).cast("string").alias("parent_agent_id"), "project_root", "repository", "branch", "commit_sha", F.lit("[]").alias("capabilities_json"), F.lit("[]").alias("access_scopes_json"), F.col("recorded_at").alias("started_at"))
+    return provenance.registered_sessions(c).select("client_id", "session_id", "repository", "branch", "clash")
+
+
+@query("""
+WITH e AS (SELECT fact_id, observation_id, relation, min({'a': created_at, 'b': evidence_excerpt}) AS x FROM fact_provenance GROUP BY 1, 2, 3),
+r AS (SELECT fact_id, observation_id, relation, coalesce(x.b, '') AS t FROM e JOIN observations USING (observation_id)),
+u AS (SELECT *, sum(CAST(floor((length(t) + 3) / 4.0) AS BIGINT)) OVER (PARTITION BY fact_id ORDER BY observation_id, relation) AS used FROM r) SELECT fact_id, observation_id, relation, CAST(used AS BIGINT) AS used FROM u WHERE used <= 40""")
+def evidence_budget(spark, sf):
+    """Each fact's evidence while forty estimated tokens last."""
+    e = provenance.edges(table(spark, sf, "fact_provenance")).join(table(spark, sf, "observations").select("observation_id"), "observation_id")
+    r = e.withColumn("rank", F.struct("observation_id", "relation")).withColumn("t", F.coalesce("evidence_excerpt", F.lit("")))
+    return context.budget_prefix(r, 40, "t", "fact_id").select("fact_id", "observation_id", "relation", "used")
+
+
+@query("""
+WITH r AS (SELECT scope, subject_key, predicate_key, fact_id, coalesce(content, '') AS t, coalesce(valid_from, created_at) AS o FROM facts WHERE subject_key IS NOT NULL AND predicate_key IS NOT NULL),
+u AS (SELECT *, sum(CAST(floor((length(t) + 3) / 4.0) AS BIGINT)) OVER (PARTITION BY scope, subject_key, predicate_key ORDER BY o NULLS FIRST, fact_id) AS used FROM r) SELECT fact_id, CAST(used AS BIGINT) AS used FROM u WHERE used <= 120""")
+def history_budget(spark, sf):
+    """Each slot's history while a hundred and twenty estimated tokens last."""
+    f = table(spark, sf, "facts").where("subject_key is not null and predicate_key is not null")
+    r = f.select(F.struct("scope", "subject_key", "predicate_key").alias("slot"), "fact_id", F.coalesce("content", F.lit("")).alias("t"), F.struct(F.coalesce("valid_from", "created_at").alias("o"), "fact_id").alias("rank"))
+    return context.budget_prefix(r, 120, "t", "slot").select("fact_id", "used")
+
+
+_NAME = "project:lanternfall"
+_ABOUT = f"coalesce(lower(subject_key) = '{_NAME}' OR list_contains(list_transform(list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: lower(x)), '{_NAME}'), FALSE)"
+_CLASH = f"""ec AS (SELECT conflict_group, count(*) OVER (PARTITION BY conflict_group) AS members, fact_id, row_number() OVER (PARTITION BY conflict_group ORDER BY fact_id) AS place FROM facts WHERE conflict_group IN (SELECT conflict_group FROM facts WHERE conflict_group IS NOT NULL AND {_ABOUT}))"""
+
+
+@query(f"WITH {_CLASH} SELECT conflict_group, CAST(members AS BIGINT) AS members, fact_id, CAST(place AS INTEGER) AS place FROM ec WHERE place <= 10")
+def entity_conflicts(spark, sf):
+    return projections.entity_conflicts(table(spark, sf, "facts"), _NAME)
+
+
+@query(f"""
+WITH {_CLASH}, ev AS (SELECT fact_id, 'created' AS event, created_at AS at_ FROM facts WHERE created_at IS NOT NULL UNION ALL SELECT fact_id, 'retired', invalid_at FROM facts WHERE invalid_at IS NOT NULL),
+m AS (SELECT fact_id, coalesce(content, '') AS item, {ACTIVE} AS live FROM facts WHERE {_ABOUT}),
+r AS (SELECT 'current' AS section, row_number() OVER (ORDER BY fact_id) AS place, item FROM m WHERE live UNION ALL SELECT 'event', row_number() OVER (ORDER BY at_, fact_id, event), concat_ws(' ', at_, event, fact_id) FROM ev WHERE fact_id IN (SELECT fact_id FROM m)
+  UNION ALL SELECT 'conflict', row_number() OVER (ORDER BY conflict_group, place), concat_ws(' ', conflict_group, fact_id) FROM ec WHERE place <= 10),
+z AS (SELECT *, greatest(1, CAST(floor((length(item) + 3) / 4.0) AS BIGINT)) AS size FROM r), u AS (SELECT *, sum(size) OVER (ORDER BY place, section) AS used FROM z)
+SELECT section, CAST(place AS INTEGER) AS place, item, size FROM u WHERE used <= 2000""")
+def full_dossier(spark, sf):
+    """Current facts, events and conflicts about one name, in turn, within two thousand estimated tokens."""
+    f = table(spark, sf, "facts")
+    events = f.where("created_at is not null").select("fact_id", F.lit("created").alias("event"), F.col("created_at").alias("at")).unionByName(f.where("invalid_at is not null").select("fact_id", F.lit("retired").alias("event"), F.col("invalid_at").alias("at")))
+    return projections.full_dossier(f, events, _NAME, 2000)
+
+
+# ---- contracts ----------------------------------------------------------------------------------
+
+@query("""
+SELECT case_id, CASE case_no % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'unsupported' END AS verdict FROM (SELECT case_id, CAST(right(case_id, 8) AS BIGINT) AS case_no FROM transcript_gate_gold)""")
+def verdicts_parsed(spark, sf):
+    """Answers of a verifier, half of them not as agreed."""
+    g = table(spark, sf, "transcript_gate_gold").select("case_id", (F.substring("case_id", -8, 8).cast("long") % 4).alias("k"))
+    said = F.element_at(F.array(*[F.lit(x) for x in ('{"verdict": "supported"}', '{"verdict":"unsupported"}', '{"verdict": "supported", "why": "x"}', "supported")]), (F.col("k") + 1).cast("int"))
+    return g.select("case_id", contracts.verdict(said).alias("verdict"))
+
+
+def _snapshot(spark, sf):
+    """Gold facts as a model's proposals over spans that are their excerpts."""
+    g = table(spark, sf, "transcript_gate_gold").select("case_id", F.posexplode("facts").alias("item_no", "f"))
+    span = F.concat(F.lit("s"), F.col("item_no").cast("string"))
+    spans = g.where("f.evidence_excerpt is not null").select("case_id", span.alias("span_id"), F.col("f.evidence_excerpt").alias("span"), F.col("f.evidence_role").alias("role"))
+    p = g.select(
+        "case_id", "item_no", F.col("f.content").alias("content"), F.lit("general").alias("category"), F.lit("").alias("tags"), F.lit("normal").alias("sensitivity"), span.alias("evidence_span_id"), F.col("f.evidence_excerpt").alias("evidence_excerpt"),
+        F.col("f.state.kind").alias("kind"), F.col("f.state.subject").alias("subject"), F.col("f.state.predicate").alias("predicate"), F.col("f.state.value").alias("value"), F.lit(None).cast("string").alias("object"), F.when(F.col("item_no") % 2 == 0, 0.9).otherwise(0.5).alias("confidence"),
+    )
+    return contracts.snapshot(screens.normal(p, "content"), spans)
+
+
+@query(f"""
+WITH g AS ({_G}), n AS (SELECT case_id, item_no, f, f.state AS st, {_C.replace("coalesce(content, '')", "coalesce(f.content, '')")} AS x, {_NORMAL.format("coalesce(f.content, '')")} || chr(10) || coalesce(f.evidence_excerpt, '') || chr(10) || 'general' || chr(10) AS y FROM g),
+k AS (SELECT *, coalesce(st.kind IN ('state', 'preference', 'commitment', 'event') AND regexp_matches(regexp_replace(lower(trim(st.subject)), '\\s+', '_', 'g'), '^[a-z0-9][a-z0-9._:/-]{{0,127}}$') AND regexp_matches(regexp_replace(lower(trim(st.predicate)), '[\\s-]+', '_', 'g'), '^[a-z0-9][a-z0-9._-]{{0,63}}$') AND st.value IS NOT NULL AND item_no % 2 = 0, FALSE) AS typed FROM n)
+SELECT case_id, item_no, CASE WHEN f.evidence_excerpt IS NULL THEN 'ungrounded' WHEN f.evidence_role IS DISTINCT FROM 'user' THEN 'not_said_by_user' ELSE {_reason('x', 'y')} END AS dropped, typed, st.kind IS NOT NULL AND NOT typed AS demoted FROM k""")
+def proposal_snapshot(spark, sf):
+    """What a snapshot keeps of every proposal, and which typed fields hold up."""
+    return _snapshot(spark, sf).select("case_id", "item_no", "dropped", F.col("typed").isNotNull().alias("typed"), "demoted")
+
+
+@query()
+def snapshot_digests(spark, sf):
+    return contracts.snapshot_digest(_snapshot(spark, sf))
+
+
+@query()
+def extraction_requests(spark, sf):
+    """The write requests of every snapshot."""
+    e = table(spark, sf, "transcript_gate_gold").select("case_id", F.lit("c").alias("client_id"), F.lit("s").alias("session_id"), F.lit("private").alias("scope"), F.sha2("case_id", 256).alias("payload_sha256"))
+    return contracts.write_requests(_snapshot(spark, sf), e).select("idempotency_key", "content", "source_authority", "correction_status")

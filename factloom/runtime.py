@@ -53,7 +53,8 @@ class Cut:
 
     The files replace the lineage: a lost executor costs a re-read, not a
     recomputation of everything before. ``drop`` removes tables that no later
-    step reads.
+    step reads; the others go when the application ends, as results are read
+    from them until then.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -65,6 +66,9 @@ class Cut:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._factloom_path = path
         return out

@@ -24,6 +24,25 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"min_trust": F.coalesce("min_trust", F.lit(0.3)), "should_abstain": F.coalesce("should_abstain", F.lit(False))})
 
 
+def load_rows(spark: SparkSession, path: str, schema: str, wrappers: tuple[str, ...] = ("cases", "rows", "data")) -> DataFrame:
+    """Rows of a JSON list, of JSON lines, or of an object that holds the list under one of ``wrappers``; a file whose rows have none of the columns raises."""
+    item = f"struct<{_struct(schema)}>"
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    wrapped = F.coalesce(*[F.from_json("v", f"struct<{w}: array<{item}>>")[w] for w in wrappers])
+    lines = F.transform(F.filter(F.split("v", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, item))
+    rows = text.select(F.explode(F.when(F.col("v").startswith("["), F.from_json("v", f"array<{item}>")).otherwise(F.coalesce(wrapped, lines))).alias("c"))
+    checked = F.when(F.to_json("c") != "{}", F.col("c")).otherwise(F.raise_error(F.lit(f"{path} holds a row without any of the columns")).cast(item))
+    return rows.select(checked.alias("c")).select("c.*")
+
+
+def verified(spark: SparkSession, path: str, sha256: str) -> str:
+    """The path, if its file has the digest; a published data set is only read as it was published."""
+    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    if got != sha256:
+        raise ValueError(f"{path} is not the expected file: {got}")
+    return path
+
+
 def _struct(ddl: str) -> str:
     return ", ".join(f"{a}: {b}" for a, b in (x.split(" ", 1) for x in ddl.split(", ")))
 
@@ -54,6 +73,24 @@ def load_haystacks(spark: SparkSession, path: str) -> DataFrame:
     return q.select("question_id", "session_no", F.col("s.haystack_dates").alias("date"), F.array_join(F.transform("s.haystack_sessions", lambda t: F.concat(F.upper(t.role), F.lit(": "), t.content)), "\n").alias("transcript"))
 
 
+def load_dated_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(question_id, question, answer, question_type, reference_time, evidence): one row per question; one without identifier, text or date raises.
+
+    A file whose name says ``oracle`` holds only the sessions with the answers,
+    so it is refused as a haystack.
+    """
+    if "oracle" in path.rsplit("/", 1)[-1].lower():
+        raise ValueError("an oracle file is no haystack")
+    item = "struct<question_id: string, question: string, answer: string, question_type: string, question_date: string, reference_time: string, answer_session_ids: array<string>, evidence: array<string>>"
+    raw = spark.read.text(path, wholetext=True).select(F.coalesce(F.from_json("value", f"struct<data: array<{item}>>")["data"], F.from_json("value", f"array<{item}>")).alias("a"))
+    q = raw.select(F.explode("a").alias("q")).select("q.*")
+    filled = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    at = F.when(filled("question_date") != "", F.trim("question_date")).otherwise(filled("reference_time"))
+    whole = (filled("question_id") != "") & (filled("question") != "") & (at != "")
+    ident = F.when(whole, F.trim("question_id")).otherwise(F.raise_error(F.lit("a question lacks its identifier, text or date")).cast("string"))
+    return q.select(ident.alias("question_id"), F.trim("question").alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), filled("question_type").alias("question_type"), at.alias("reference_time"), F.coalesce("answer_session_ids", "evidence", F.array().cast("array<string>")).alias("evidence"))
+
+
 def exact_cases(facts: DataFrame) -> DataFrame:
     """A case per fact whose query is its own content."""
     return facts.where("content is not null and content != ''").select(F.concat(F.lit("fact-"), F.col("fact_id").cast("string")).alias("id"), F.col("content").alias("query"), F.col("fact_id").alias("gold_fact_id"), F.lit("exact_fact").alias("case_type"))
@@ -77,3 +114,8 @@ def report_rows(cases: DataFrame) -> DataFrame:
     """Cases as JSON lines for a report: text of private cases is withheld."""
     shown = F.when(F.col("privacy_tier") == "public", F.col("query")).otherwise("[private]")
     return cases.withColumn("query", shown).select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_report(cases: DataFrame, path: str) -> None:
+    """The report rows as JSON lines."""
+    report_rows(cases).write.mode("overwrite").text(path)
