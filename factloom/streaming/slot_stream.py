@@ -35,10 +35,9 @@ def _step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         w = {k: w[k] for k in _FIELDS}
         for k in ("seq", "start", "stop"):
             w[k] = None if w[k] is None else int(w[k])
-        action, target = apply_write(w, rows)
+        action, target, _ = apply_write(w, rows)
         out.append((*key, w["seq"], action, target))
-    # rows that can still matter: believed ones
-    state.update((json.dumps([r for r in rows if r["status"] in ("current", "closed")]),))
+    state.update((json.dumps(rows),))  # believed rows only: those that can still matter
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"target": "Int64"})
 
 

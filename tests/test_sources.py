@@ -119,3 +119,85 @@ def test_sinks(spark, small, tmp_path):
     assert {r["section"] for r in spark.read.text(str(tmp_path / "md")).select("section").distinct().collect()} <= {"current", "conflict", "unreviewed"}
     a, b = gates.fingerprint(facts).first(), gates.fingerprint(facts.orderBy("content")).first()
     assert a == b and a != gates.fingerprint(facts.where("fact_id > 1")).first()
+
+
+def test_rows_in_three_shapes(spark, tmp_path):
+    from factloom.sources.arenas import load_rows
+
+    shapes = {"a": '[{"k": 1, "t": "x"}, {"k": 2, "z": 0}]', "b": '{"k": 1, "t": "x"}\n\n{"k": 2}\n', "c": '{"rows": [{"k": 1, "t": "x"}, {"k": 2}]}'}
+    for name, text in shapes.items():
+        (tmp_path / name).write_text(text)
+        assert [tuple(r) for r in load_rows(spark, str(tmp_path / name), "k long, t string").collect()] == [(1, "x"), (2, None)]
+    (tmp_path / "d").write_text('[{"other": 1}]')
+    with pytest.raises(Exception):
+        load_rows(spark, str(tmp_path / "d"), "k long, t string").collect()
+
+
+def test_published_files_are_checked(spark, tmp_path):
+    import hashlib
+
+    from factloom.sources.arenas import load_dated_questions, verified
+
+    p = tmp_path / "q.json"
+    p.write_text('{"data": [{"question_id": " 1 ", "question": "when? ", "question_date": "", "reference_time": "2025", "answer_session_ids": ["s"]}]}')
+    assert verified(spark, str(p), hashlib.sha256(p.read_bytes()).hexdigest()) == str(p)
+    with pytest.raises(ValueError):
+        verified(spark, str(p), "0" * 64)
+    assert tuple(load_dated_questions(spark, str(p)).first()) == ("1", "when?", "", "", "2025", ["s"])
+    with pytest.raises(ValueError):
+        load_dated_questions(spark, str(tmp_path / "x_oracle.json"))
+    p.write_text('[{"question_id": "1", "question": "when?"}]')
+    with pytest.raises(Exception):
+        load_dated_questions(spark, str(p)).collect()
+
+
+def test_report_is_written(spark, tmp_path):
+    from factloom.sources.arenas import write_report
+
+    write_report(spark.createDataFrame([(1, "secret", "private"), (2, "open", "public")], "id int, query string, privacy_tier string"), str(tmp_path / "r"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()) == ['{"id":1,"query":"[private]","privacy_tier":"private"}', '{"id":2,"query":"open","privacy_tier":"public"}']
+
+
+def base(**more):
+    return {"content": "c", "category": "g", "tags": "", "sensitivity": "normal", "evidence_span_id": "s1"} | more
+
+
+@pytest.mark.parametrize("document,error", [
+    (None, "invalid_document"), ("[]", "invalid_document"), ({"proposals": [], "x": 1}, "invalid_document"), ({"proposals": [base()] * 17}, "proposal_limit"), ({"proposals": [{"content": "c"}]}, "invalid_fields"),
+    ({"proposals": [base(extra=1)]}, "invalid_fields"), ({"proposals": [base(evidence_span_id="s9")]}, "invalid_values"), ({"proposals": [base(content=" ")]}, "invalid_values"), ({"proposals": [base(sensitivity="secret")]}, "invalid_values"),
+    ({"proposals": [base(kind=1)]}, "invalid_typed_field"), ({"proposals": [base(confidence=2)]}, "invalid_typed_field"), ({"proposals": [base(negation="no")]}, "invalid_typed_field"), ({"proposals": [base(valid_from="2026-01-01")]}, "ungrounded_date"),
+    ({"proposals": [base(kind="state", subject="a", predicate="b", confidence=0.9)]}, "incomplete_typed_fields"), ({"proposals": [base(kind="state", subject="a", predicate="b", confidence=0.9, value="v", negation=True)]}, "incomplete_typed_fields"),
+    ({"proposals": [base(), base(kind="state", subject="a", predicate="b", confidence=0.9, value="v", valid_from="2025-01-01")]}, None), ({"proposals": [base(kind="state", subject="a", predicate="b", confidence=0.9, negation=True)]}, None), ({"proposals": []}, None),
+])
+def test_proposal_documents(document, error):
+    import json
+
+    from factloom.operators.contracts import normalised
+
+    text = document if document is None or isinstance(document, str) else json.dumps(document)
+    items, got = normalised(text, {"s1": "said on 2025-01-01"})
+    assert got == error and (error is None or items == [])
+    if items:
+        assert items[0]["evidence_excerpt"] == "said on 2025-01-01"
+
+
+def test_contracts(spark):
+    import json
+
+    from factloom.operators import contracts
+
+    answers = spark.createDataFrame([("a", json.dumps({"proposals": [base(), base(content="TODO x")]})), ("b", "junk"), ("c", json.dumps({"proposals": []}))], "case_id string, answer string")
+    spans = spark.createDataFrame([("a", "s1", "I said it", "user"), ("a", "s2", "tool", "tool")], "case_id string, span_id string, span string, role string")
+    d = contracts.documents(answers, spans)
+    assert sorted((r["case_id"], r["item_no"], r["error"]) for r in d.collect()) == [("a", 0, None), ("a", 1, None), ("b", 0, "invalid_document")]
+    s = contracts.snapshot(d.where("error is null"), spans)
+    assert sorted((r["item_no"], r["dropped"]) for r in s.collect()) == [(0, None), (1, "task_shaped_content")]
+    assert contracts.snapshot_digest(s).first()["proposals"] == 1
+    e = spark.createDataFrame([("a", "c", "s", "private", "f" * 64)], "case_id string, client_id string, session_id string, scope string, payload_sha256 string")
+    w = contracts.write_requests(s, e).first()
+    assert w["idempotency_key"] == "extract:" + "f" * 64 + ":0" and w["correction_status"] == "unreviewed" and w["source_authority"] == 0.4
+    schema = json.loads(contracts.proposal_schema(["s1"]))
+    assert schema["properties"]["proposals"]["items"]["properties"]["evidence_span_id"]["enum"] == ["s1"]
+    contracts.refuse_identity({"a": [{"b": 1}]})
+    with pytest.raises(ValueError, match="a.0.client_id"):
+        contracts.refuse_identity({"a": [{"client_id": 1}]})
