@@ -65,18 +65,28 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), FORMAT_CHARS, "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once per row, even within a branch of a case."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def echoes(text: Column) -> Column:
     """Whether a text repeats an example of the prompts: one holds the other, or they share most of their words."""
-    low = F.lower(F.translate(plain(text), LOOK_ALIKE, STANDS_FOR))
-    key = F.regexp_replace(low, r"[^\p{L}\p{N}]", "")
-    words = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.array(*[F.lit(w) for w in ECHO_STOPWORDS]))
-    tests = []
-    for said in EXAMPLES:
-        k = re.sub(r"[^a-z0-9]", "", said.lower())
-        w = F.array(*[F.lit(x) for x in sorted(set(re.findall("[a-z0-9]+", said.lower())) - set(ECHO_STOPWORDS))])
-        shared, union = F.size(F.array_intersect(words, w)), F.size(F.array_union(words, w))
-        tests.append(key.contains(k) | F.contains(F.lit(k), key) | ((shared >= ECHO_SHARED) & (shared / union >= ECHO_JACCARD)))
-    return (key != "") & reduce(lambda a, b: a | b, tests)
+
+    def said_again(x: Column) -> Column:
+        tests = []
+        for said in EXAMPLES:
+            k = re.sub(r"[^a-z0-9]", "", said.lower())
+            w = F.array(*[F.lit(y) for y in sorted(set(re.findall("[a-z0-9]+", said.lower())) - set(ECHO_STOPWORDS))])
+            shared, union = F.size(F.array_intersect(x.w, w)), F.size(F.array_union(x.w, w))
+            tests.append(x.k.contains(k) | F.contains(F.lit(k), x.k) | ((shared >= ECHO_SHARED) & (shared / union >= ECHO_JACCARD)))
+        return (x.k != "") & reduce(lambda a, b: a | b, tests)
+
+    def parts(low: Column) -> Column:
+        words = F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.array(*[F.lit(w) for w in ECHO_STOPWORDS]))
+        return F.struct(F.regexp_replace(low, r"[^\p{L}\p{N}]", "").alias("k"), words.alias("w"))
+
+    return _once(F.lower(F.translate(plain(text), LOOK_ALIKE, STANDS_FOR)), lambda low: _once(parts(low), said_again))
 
 
 def blank(text: Column) -> Column:
@@ -85,7 +95,8 @@ def blank(text: Column) -> Column:
 
 
 def any_match(text: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike("(?U)" + p) for p in patterns))
+    """Whether one of the patterns occurs: a single expression, as a long chain of them would be too large to be compiled."""
+    return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def credential_shaped(text: Column) -> Column:
