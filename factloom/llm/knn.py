@@ -43,6 +43,9 @@ TILE = 1024
 REPEAT_BITS = 1 << 24
 #: Vectors of one block that travel in one row.
 PACK = 16
+#: Bytes of vectors that a task of the search reads, about, and the most tasks that are made to keep to it.
+TASK_BYTES = 12 << 20
+MAX_TASKS = 50_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -380,7 +383,10 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int
     ship(spark)
     rows = usable(vectors)
     kind = rows.schema["id"].dataType.simpleString()
-    sizes = {r["identity"]: r["count"] for r in rows.groupBy("identity").count().collect()}  # one row per identity
+    found = rows.groupBy("identity").agg(F.count(F.lit(1)).alias("count"), F.max("dim").alias("dim")).collect()  # one row per identity
+    sizes = {r["identity"]: r["count"] for r in found}
+    moved = sum(4 * r["dim"] * r["count"] * (1 + probes / every) for r in found)
+    tasks = max(partitions(spark), min(MAX_TASKS, int(moved // TASK_BYTES) + 1))
     cells = {i: max(1, min(MAX_CELLS, n // VECTORS_A_CELL)) for i, n in sizes.items()}
     fraction = {i: min(1.0, max(SAMPLE_A_CELL * cells[i], 4 * CODES) / n) for i, n in sizes.items()}
     fitted = fit(rows, cells, fraction, subspaces) if sizes else {}
@@ -399,7 +405,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int
         visits = spotted.mapInArrow(_visits(model, chunks, probes, every, bits), packs).unionByName(once.mapInArrow(_visits(model, chunks, probes, every), packs))
     else:
         visits = rows.mapInArrow(_visits(model, chunks, probes, every), packs)
-    found = visits.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(
+    found = visits.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(
         _blocks(model, k, rerank, least, {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind]), f"identity string, id {kind}, other {kind}, cosine double"
     )
     w = Window.partitionBy("identity", "id").orderBy(F.col("cosine").desc(), "other")
