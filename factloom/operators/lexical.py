@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, jaccard, token_set, tokens
+from ..functions.text import token_set, tokens
 from ..runtime import Cut
 
 # Parameters of BM25 and the floor of the inverse document frequency.
@@ -34,25 +34,34 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(token_set(F.col("query"))).alias("token"))
 
 
-def bm25(facts: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
-    """(query_id, fact_id, bm25): higher is better here; statistics over all facts, results over kept ones.
+def scored(facts: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(query_id, fact_id, bm25, jaccard, coverage): kept facts that share an indexed token with the query.
 
-    Only postings of query tokens go on to the aggregation: a small query set
-    is broadcast by its measured size, a large one is joined by token.
+    Higher is better throughout. The statistics of BM25 cover all facts; overlap
+    and coverage look at contents only. One join by token serves all three. Only
+    postings of query tokens go on to it: a small query set is broadcast by its
+    measured size, a large one is joined by token.
     """
-    q = query_tokens(queries)
+    q = queries.select("query_id", token_set(F.col("query")).alias("q")).select("query_id", F.size("q").alias("qn"), F.explode("q").alias("token"))
     wanted = q.select("token").distinct()
-    lists = facts.select("fact_id", (F.lit(True) if keep is None else keep).alias("keep"), tokens(indexed_text()).alias("t"))
+    lists = facts.select("fact_id", (F.lit(True) if keep is None else keep).alias("keep"), tokens(F.col("content")).alias("t"), tokens(F.col("tags")).alias("g"))
     lists = Cut(facts.sparkSession, "bm25")(lists, "lists")  # texts are tokenised once, not once per use
-    stats = lists.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    hits = lists.select("fact_id", "keep", F.size("t").alias("dl"), F.explode("t").alias("token")).join(wanted, "token")
-    p = hits.groupBy("fact_id", "token", "dl", "keep").agg(F.count(F.lit(1)).alias("tf"))
+    stats = lists.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t") + F.size("g")).alias("avgdl"))
+    said = F.concat(F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(1).alias("inside"))), F.transform("g", lambda x: F.struct(x.alias("token"), F.lit(0).alias("inside"))))
+    hits = lists.select("fact_id", "keep", (F.size("t") + F.size("g")).alias("dl"), F.size(F.array_distinct("t")).alias("dn"), F.explode(said).alias("s")).select("fact_id", "keep", "dl", "dn", "s.token", "s.inside").join(wanted, "token")
+    p = hits.groupBy("fact_id", "token", "dl", "dn", "keep").agg(F.count(F.lit(1)).alias("tf"), F.max("inside").alias("inside"))
     df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weights = p.where("keep").join(df, "token").join(F.broadcast(stats)).select("fact_id", "token", weight.alias("w"))
-    return q.join(weights, "token").groupBy("query_id", "fact_id").agg(F.sum("w").alias("bm25"))
+    weights = p.where("keep").join(df, "token").join(F.broadcast(stats)).select("fact_id", "token", "dn", "inside", weight.alias("w"))
+    g = q.join(weights, "token").groupBy("query_id", "fact_id").agg(F.sum("w").alias("bm25"), F.sum("inside").alias("both"), F.max("qn").alias("qn"), F.max("dn").alias("dn"))
+    return g.select("query_id", "fact_id", "bm25", (F.col("both") / (F.col("qn") + F.col("dn") - F.col("both"))).alias("jaccard"), (F.col("both") / F.col("qn")).alias("coverage"))
+
+
+def bm25(facts: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(query_id, fact_id, bm25) of ``scored``."""
+    return scored(facts, queries, keep).select("query_id", "fact_id", "bm25")
 
 
 def top(scored: DataFrame, score: str, k: int, by: str = "query_id") -> DataFrame:
@@ -85,6 +94,3 @@ def overlap(facts: DataFrame, queries: DataFrame, least: float = 0.0) -> DataFra
     g = shared.groupBy("query_id", "fact_id").agg(F.count(F.lit(1)).alias("both"), F.max("qn").alias("qn"), F.max("dn").alias("dn"))
     out = g.select("query_id", "fact_id", (F.col("both") / (F.col("qn") + F.col("dn") - F.col("both"))).alias("jaccard"), (F.col("both") / F.col("qn")).alias("coverage"))
     return out.where(F.col("jaccard") >= least)
-
-
-__all__ = ["all_tokens", "bm25", "coverage", "document_frequency", "indexed_text", "jaccard", "overlap", "postings", "query_tokens", "top"]

@@ -242,3 +242,16 @@ def write_decisions(spark, sf):
 def decision_accuracy(spark, sf):
     g, d = _decisions(spark, sf)
     return reports.decision_accuracy(g.select("case_id", F.col("decision").alias("expected")).distinct().join(d, "case_id"))
+
+
+@query("""
+WITH g AS (SELECT case_id, unnest(facts) AS f FROM transcript_gate_gold), c AS (SELECT coalesce(f.evidence_role, 'none') AS role, f.asserted_by = f.evidence_role AS label FROM g),
+r AS (SELECT role, count(*) AS cases, count(*) FILTER (WHERE NOT coalesce(label, FALSE)) AS negatives FROM c GROUP BY ROLLUP (role))
+SELECT coalesce(role, '(all)') AS role, CAST(cases AS BIGINT) AS cases, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS false_verify FROM r""")
+def prefilter_score(spark, sf):
+    """The deterministic screen as a verifier: it may reject, but it never verifies."""
+    from ..operators.gates import verdicts
+
+    g = table(spark, sf, "transcript_gate_gold").select("case_id", F.explode("facts").alias("f"))
+    c = g.select(F.coalesce("f.evidence_role", F.lit("none")).alias("role"), F.when(F.col("f.asserted_by") == F.col("f.evidence_role"), "supported").otherwise("unsupported").alias("label"), F.lit("needs_review").alias("predicted"))
+    return verdicts(c, "role")

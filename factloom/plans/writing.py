@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anchors, context, contracts, dedup, embedding, erasure, jobs, keys, lexical, projections, prompts, provenance, reflection, screens, writes
+from ..operators import anchors, context, contracts, dedup, embedding, erasure, jobs, keys, lexical, projections, prompts, provenance, reflection, screens, service, writes
 from ..operators.dense import present
 from ..sources.tables import table
 from .retrieval import _BM25, _C, _G, _NORMAL, _TOP, _bm25_top, _keep, _lit, _ranked, _reason, _sql_match, _words_sql
@@ -760,3 +760,70 @@ def extraction_requests(spark, sf):
     """The write requests of every snapshot."""
     e = table(spark, sf, "transcript_gate_gold").select("case_id", F.lit("c").alias("client_id"), F.lit("s").alias("session_id"), F.lit("private").alias("scope"), F.sha2("case_id", 256).alias("payload_sha256"))
     return contracts.write_requests(_snapshot(spark, sf), e).select("idempotency_key", "content", "source_authority", "correction_status")
+
+
+# ---- whole answers ------------------------------------------------------------------------------
+
+@query("SELECT fact_id, content, scope, superseded_by FROM facts WHERE fact_id = 60")
+def fact_lookup(spark, sf):
+    """One fact by its identifier, retired or not."""
+    return prompts.one_fact(table(spark, sf, "facts"), 60, current=False).select("fact_id", "content", "scope", "superseded_by")
+
+
+_RECEIPTS = """u AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS x FROM q),
+cg AS (SELECT DISTINCT conflict_group, unnest(regexp_extract_all(lower(concat_ws(' ', subject_key, predicate_key, object_value)), '[\\p{L}\\p{N}]+')) AS x FROM facts WHERE conflict_group IS NOT NULL),
+rr AS (SELECT query_id, conflict_group FROM u JOIN cg USING (x) GROUP BY 1, 2 HAVING count(*) >= 2 OR max(length(x)) >= 6)"""
+
+
+@query(f"""
+WITH {_BM25}, {_TOP}, {_RECEIPTS}, sv AS (SELECT query_id, t.fact_id, rank, content FROM t JOIN facts USING (fact_id) WHERE rank <= 6),
+sp AS (SELECT query_id, max(rank) > 5 OR coalesce(max(CASE WHEN rank <= 5 THEN length(coalesce(content, '')) > 120 END), FALSE) AS output_truncated FROM sv GROUP BY 1), sc AS (SELECT query_id, count(*) AS n FROM rr GROUP BY 1)
+SELECT query_id, fact_id, CAST(rank AS INTEGER) AS rank, CASE WHEN length(content) > 120 THEN rtrim(substr(content, 1, 107)) || '… [truncated]' ELSE content END AS content, output_truncated, CAST(coalesce(n, 0) AS BIGINT) AS open_conflicts
+FROM sv JOIN sp USING (query_id) LEFT JOIN sc USING (query_id) WHERE rank <= 5""")
+def service_search(spark, sf):
+    """The five best facts of every query as a service answers, with how many disputes bear on it."""
+    from ..operators.expansion import relevant_receipts
+    from .retrieval import search_queries
+
+    f = table(spark, sf, "facts")
+    top = lexical.top(lexical.bm25(f, search_queries(spark, sf), _keep()), "bm25", 6).withColumn("score", F.col("bm25"))
+    who = provenance.attribution(table(spark, sf, "fact_provenance"), table(spark, sf, "observations"), table(spark, sf, "memory_sessions"))
+    r = service.search(top, f, who, relevant_receipts(f, search_queries(spark, sf)), 5, 5, 120)
+    return r.select("query_id", "fact_id", "rank", "content", "output_truncated", "open_conflicts")
+
+
+@query(f"""
+WITH {_BM25}, {_TOP}, {_RECEIPTS}, ra AS (SELECT query_id, 0 AS kind, lpad(CAST(rank AS VARCHAR), 12, '0') AS o, coalesce(content, '') AS item FROM t JOIN facts USING (fact_id) WHERE rank <= 10 UNION ALL SELECT query_id, 1, conflict_group, 'open conflict ' || conflict_group FROM rr),
+z AS (SELECT *, row_number() OVER w AS place, sum(CAST(floor((length(item) + 3) / 4.0) AS BIGINT)) OVER w AS run FROM ra WINDOW w AS (PARTITION BY query_id, kind ORDER BY o)),
+y AS (SELECT *, coalesce(max(CASE WHEN kind = 0 AND run <= 150 THEN run END) OVER (PARTITION BY query_id), 0) AS used FROM z)
+SELECT query_id, CAST(kind AS INTEGER) AS kind, CAST(place AS INTEGER) AS place, item FROM y WHERE CASE WHEN kind = 0 THEN run <= 150 ELSE run + used <= 150 OR place = 1 END""")
+def recall_answer(spark, sf):
+    """Every query's answer within a hundred and fifty estimated tokens."""
+    from ..operators.expansion import relevant_receipts
+    from .retrieval import search_queries
+
+    f = table(spark, sf, "facts")
+    rows = _bm25_top(spark, sf).join(f.select("fact_id", F.coalesce("content", F.lit("")).alias("text")), "fact_id")
+    told = relevant_receipts(f, search_queries(spark, sf)).withColumn("line", F.concat(F.lit("open conflict "), "conflict_group"))
+    return service.recall(rows.select("query_id", "rank", "text"), told, 150)
+
+
+def _first_matches(spark, sf):
+    """Facts divisible by 20 as new texts, each with its three best matches but itself."""
+    f = table(spark, sf, "facts")
+    q = f.where("fact_id % 20 = 0 and content is not null").select(F.col("fact_id").alias("query_id"), F.col("content").alias("query"))
+    t = lexical.top(lexical.bm25(f, q, _keep()).where("query_id != fact_id"), "bm25", 3).select(F.col("query_id").alias("request_id"), "fact_id", "rank")
+    new = q.select(F.col("query_id").alias("request_id"), F.col("query").alias("a_text"))
+    return t.join(new, "request_id").join(f.select("fact_id", F.col("content").alias("b_text")), "fact_id").withColumn("cosine", F.lit(None).cast("double"))
+
+
+@query()
+def first_restated(spark, sf):
+    """New texts that restate one of their first matches."""
+    return service.restated_first(_first_matches(spark, sf))
+
+
+@query()
+def first_updated(spark, sf):
+    """New texts that change the value of one of their first matches."""
+    return service.updated_first(_first_matches(spark, sf))
