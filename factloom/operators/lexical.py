@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens
-from ..runtime import Cut
+from ..runtime import Cut, spread
 
 # Parameters of BM25 and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: So many (query, token) rows may be broadcast.
+BROADCAST_TOKENS = 1_000_000
 
 
 def indexed_text() -> Column:
@@ -39,23 +41,30 @@ def scored(facts: DataFrame, queries: DataFrame, keep: Column | None = None) ->
 
     Higher is better throughout. The statistics of BM25 cover all facts; overlap
     and coverage look at contents only. One join by token serves all three. Only
-    postings of query tokens go on to it: a small query set is broadcast by its
-    measured size, a large one is joined by token.
+    postings of query tokens go on to it. Postings are placed by fact once, so
+    that counting them and adding them up per query needs no further shuffle as
+    long as the query tokens, whose number is looked at first, can be broadcast;
+    more are joined by a shuffle.
     """
+    cut = Cut(facts.sparkSession, "bm25")
     q = queries.select("query_id", token_set(F.col("query")).alias("q")).select("query_id", F.size("q").alias("qn"), F.explode("q").alias("token"))
-    wanted = q.select("token").distinct()
+    q = cut(q, "queries")
+    small = F.broadcast if q.count() <= BROADCAST_TOKENS else lambda df: df
+    wanted = small(q.select("token").distinct())
     lists = facts.select("fact_id", (F.lit(True) if keep is None else keep).alias("keep"), tokens(F.col("content")).alias("t"), tokens(F.col("tags")).alias("g"))
-    lists = Cut(facts.sparkSession, "bm25")(lists, "lists")  # texts are tokenised once, not once per use
+    lists = cut(spread(lists), "lists")  # texts are tokenised once, not once per use
     stats = lists.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t") + F.size("g")).alias("avgdl"))
+    distinct = lists.select(F.explode(F.array_distinct(F.concat("t", "g"))).alias("token")).join(wanted, "token", "left_semi")
+    df = distinct.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     said = F.concat(F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(1).alias("inside"))), F.transform("g", lambda x: F.struct(x.alias("token"), F.lit(0).alias("inside"))))
-    hits = lists.select("fact_id", "keep", (F.size("t") + F.size("g")).alias("dl"), F.size(F.array_distinct("t")).alias("dn"), F.explode(said).alias("s")).select("fact_id", "keep", "dl", "dn", "s.token", "s.inside").join(wanted, "token")
-    p = hits.groupBy("fact_id", "token", "dl", "dn", "keep").agg(F.count(F.lit(1)).alias("tf"), F.max("inside").alias("inside"))
-    df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    kept = lists.where("keep").select("fact_id", (F.size("t") + F.size("g")).alias("dl"), F.size(F.array_distinct("t")).alias("dn"), F.explode(said).alias("s"))
+    hits = kept.select("fact_id", "dl", "dn", "s.token", "s.inside").join(wanted, "token", "left_semi").repartition("fact_id")
+    p = hits.groupBy("fact_id", "token", "dl", "dn").agg(F.count(F.lit(1)).alias("tf"), F.max("inside").alias("inside"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weights = p.where("keep").join(df, "token").join(F.broadcast(stats)).select("fact_id", "token", "dn", "inside", weight.alias("w"))
-    g = q.join(weights, "token").groupBy("query_id", "fact_id").agg(F.sum("w").alias("bm25"), F.sum("inside").alias("both"), F.max("qn").alias("qn"), F.max("dn").alias("dn"))
+    weights = p.join(small(df), "token").join(F.broadcast(stats)).select("fact_id", "token", "dn", "inside", weight.alias("w"))
+    g = weights.join(small(q), "token").groupBy("query_id", "fact_id").agg(F.sum("w").alias("bm25"), F.sum("inside").alias("both"), F.max("qn").alias("qn"), F.max("dn").alias("dn"))
     return g.select("query_id", "fact_id", "bm25", (F.col("both") / (F.col("qn") + F.col("dn") - F.col("both"))).alias("jaccard"), (F.col("both") / F.col("qn")).alias("coverage"))
 
 
