@@ -200,7 +200,12 @@ def idempotency_keys(spark, sf):
     return o.select(writes.idempotency_key(F.col("client_id"), F.col("session_id"), canonical).alias("key"), "observation_id")
 
 
-@query()
+@query(f"""
+WITH o AS (SELECT observation_id AS proposal_id, {_NORMAL.format("coalesce(observation_content, '')")} AS n FROM observations),
+r AS (SELECT proposal_id, trim(n, ' ') AS t, regexp_replace(n, '\\p{{Cf}}', '', 'g') AS x, n || chr(10) || 'general' || chr(10) AS y FROM o),
+z AS (SELECT proposal_id, t, CASE WHEN t = '' THEN 'empty' ELSE {_reason('x', 'y')} END AS reason FROM r), k AS (SELECT DISTINCT trim(content, ' ') AS t FROM facts WHERE invalid_at IS NULL AND superseded_by IS NULL AND trim(content, ' ') <> ''),
+m AS (SELECT *, row_number() OVER (PARTITION BY t, reason IS NULL ORDER BY proposal_id) AS n FROM z)
+SELECT proposal_id, coalesce(reason, CASE WHEN t IN (SELECT t FROM k) OR n > 1 THEN 'duplicate' END) AS skipped FROM m""")
 def insert_report(spark, sf):
     """Observations as extracted proposals: which would not be inserted, and why."""
     o = table(spark, sf, "observations").select(F.col("observation_id").alias("proposal_id"), F.col("observation_content").alias("content"), F.lit("general").alias("category"), F.lit("").alias("tags"))
@@ -741,9 +746,12 @@ def _snapshot(spark, sf):
     return contracts.snapshot(screens.normal(p, "content"), spans)
 
 
-@query(f"""
+_SNAPSHOT = f"""
 WITH g AS ({_G}), n AS (SELECT case_id, item_no, f, f.state AS st, {_C.replace("coalesce(content, '')", "coalesce(f.content, '')")} AS x, {_NORMAL.format("coalesce(f.content, '')")} || chr(10) || coalesce(f.evidence_excerpt, '') || chr(10) || 'general' || chr(10) AS y FROM g),
-k AS (SELECT *, coalesce(st.kind IN ('state', 'preference', 'commitment', 'event') AND regexp_matches(regexp_replace(lower(trim(st.subject)), '\\s+', '_', 'g'), '^[a-z0-9][a-z0-9._:/-]{{0,127}}$') AND regexp_matches(regexp_replace(lower(trim(st.predicate)), '[\\s-]+', '_', 'g'), '^[a-z0-9][a-z0-9._-]{{0,63}}$') AND st.value IS NOT NULL AND item_no % 2 = 0, FALSE) AS typed FROM n)
+k AS (SELECT *, coalesce(st.kind IN ('state', 'preference', 'commitment', 'event') AND regexp_matches(regexp_replace(lower(trim(st.subject)), '\\s+', '_', 'g'), '^[a-z0-9][a-z0-9._:/-]{{0,127}}$') AND regexp_matches(regexp_replace(lower(trim(st.predicate)), '[\\s-]+', '_', 'g'), '^[a-z0-9][a-z0-9._-]{{0,63}}$') AND st.value IS NOT NULL AND item_no % 2 = 0, FALSE) AS typed FROM n)"""
+
+
+@query(_SNAPSHOT + f"""
 SELECT case_id, item_no, CASE WHEN f.evidence_excerpt IS NULL THEN 'ungrounded' WHEN f.evidence_role IS DISTINCT FROM 'user' THEN 'not_said_by_user' ELSE {_reason('x', 'y')} END AS dropped, typed, st.kind IS NOT NULL AND NOT typed AS demoted FROM k""")
 def proposal_snapshot(spark, sf):
     """What a snapshot keeps of every proposal, and which typed fields hold up."""
@@ -755,7 +763,8 @@ def snapshot_digests(spark, sf):
     return contracts.snapshot_digest(_snapshot(spark, sf))
 
 
-@query()
+@query(_SNAPSHOT + f""", z AS (SELECT *, CASE WHEN f.evidence_excerpt IS NULL THEN 'ungrounded' WHEN f.evidence_role IS DISTINCT FROM 'user' THEN 'not_said_by_user' ELSE {_reason('x', 'y')} END AS dropped FROM k)
+SELECT 'extract:' || sha256(case_id) || ':' || item_no AS idempotency_key, f.content AS content, CASE WHEN typed THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS source_authority, CASE WHEN NOT typed THEN 'unreviewed' END AS correction_status FROM z WHERE dropped IS NULL""")
 def extraction_requests(spark, sf):
     """The write requests of every snapshot."""
     e = table(spark, sf, "transcript_gate_gold").select("case_id", F.lit("c").alias("client_id"), F.lit("s").alias("session_id"), F.lit("private").alias("scope"), F.sha2("case_id", 256).alias("payload_sha256"))
