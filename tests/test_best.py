@@ -57,3 +57,8 @@ def test_strict_search_without_pairs(spark, small, monkeypatch):
 def test_anchor_gate_without_pairs(spark, small, monkeypatch):
     no_pairs(spark, monkeypatch)
     assert writing.anchor_gate(spark, small).count() > 0
+
+
+def test_near_writes_without_pairs(spark, small, monkeypatch):
+    no_pairs(spark, monkeypatch)
+    assert writing.write_near_duplicates(spark, small).count() > 0
