@@ -62,3 +62,13 @@ def test_anchor_gate_without_pairs(spark, small, monkeypatch):
 def test_near_writes_without_pairs(spark, small, monkeypatch):
     no_pairs(spark, monkeypatch)
     assert writing.write_near_duplicates(spark, small).count() > 0
+
+
+def test_first_restated_without_pairs(spark, small, monkeypatch):
+    no_pairs(spark, monkeypatch)
+    assert writing.first_restated(spark, small).count() > 0
+
+
+def test_first_updated_without_pairs(spark, small, monkeypatch):
+    no_pairs(spark, monkeypatch)
+    assert writing.first_updated(spark, small).count() > 0
