@@ -8,6 +8,11 @@ Rows meet only within a group of equal keys. Crowded cells are cut into chunks,
 so no task holds more than a chunk and those who ask there come in batches.
 Within a chunk the products are matrix products.
 
+Only groups of more than a chunk need cells: a smaller one meets in one place,
+and a row without a partner of its keys is not sent at all. Where the threshold
+is so low that a row would ask in more cells than a group has chunks, the large
+groups are cut into chunks alone.
+
 The pivots are a hash sample of the rows, ``ROWS_A_PIVOT`` rows each and at most
 ``MAX_PIVOTS`` per dimension: they go to every task, and any pivots give the
 same pairs.
@@ -26,6 +31,8 @@ ROWS_A_PIVOT = 500
 MAX_PIVOTS = 2048
 CHUNK = 4096
 SLACK = 1e-5
+#: Rows compared at once with the pivots, or with a chunk: what a task holds is so many rows of angles.
+TILE = 512
 
 
 def _units(batch):
@@ -52,7 +59,7 @@ def _places(pivots, reach: float):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(s, TILE) for whole in batches for s in range(0, whole.num_rows, TILE)):
             for d, rows, raw, v in _units(b):
                 p = pivots.value.get(d)
                 angle = np.arccos(np.clip(v @ p.T, -1, 1)) if p is not None else np.zeros((len(v), 1))
@@ -70,8 +77,24 @@ def _places(pivots, reach: float):
     return run
 
 
-def _compare(least: float):
-    """Sorted rows of chunks, held ones first, to pairs."""
+def spanning(n: int, i, j):
+    """For nodes 0 to n - 1 and edges (i, j): the smallest node each one is connected with."""
+    import numpy as np
+
+    low = np.arange(n)
+    while len(i):
+        m = np.minimum(low[i], low[j])
+        before = low.copy()
+        np.minimum.at(low, low[i], m)
+        np.minimum.at(low, low[j], m)
+        low = low[low]
+        if (low == before).all():
+            break
+    return low
+
+
+def _compare(least: float, forest: bool = False):
+    """Sorted rows of chunks, held ones first, to pairs; with ``forest`` to so many of them as connect the same rows."""
 
     def run(batches):
         import numpy as np
@@ -81,13 +104,25 @@ def _compare(least: float):
 
         def pairs(x_ids, x, y_ids, y, inside):
             plain = x.astype(np.float32)
-            for s in range(0, len(y), 1024):
-                sim = y[s : s + 1024].astype(np.float32) @ plain.T
+            for s in range(0, len(y), TILE):
+                sim = y[s : s + TILE].astype(np.float32) @ plain.T
                 i, j = np.nonzero(sim >= least - 1e-5)
                 if inside:
                     keep = y_ids[s + i] > x_ids[j]
                     i, j = i[keep], j[keep]
-                if len(i):
+                if forest and len(i):
+                    close = sim[i, j] < least + 1e-5
+                    at = np.flatnonzero(close)
+                    close[at] = np.round(np.einsum("ij,ij->i", x[j[at]], y[s + i[at]]), 6) < least
+                    i, j = s + i[~close], j[~close]
+                    if inside:
+                        low, of = spanning(len(x), i, j), x_ids
+                    else:
+                        low, of = spanning(len(x) + len(y), j, len(x) + i), np.r_[x_ids, y_ids]
+                    at = np.flatnonzero(low != np.arange(len(low)))
+                    a, b = of[low[at]], of[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), 1.0))], ["a", "b", "cosine"])
+                elif len(i):
                     a, b = x_ids[j], y_ids[s + i]
                     exact = np.einsum("ij,ij->i", x[j], y[s + i])
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(exact)], ["a", "b", "cosine"])
@@ -115,30 +150,49 @@ def _compare(least: float):
     return run
 
 
-def near(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """(a, b, cosine): pairs of rows (id, embedding and ``keys``) with equal keys and a cosine of at least ``least``, each once."""
+def near(rows: DataFrame, keys: list[str], least: float, forest: bool = False) -> DataFrame:
+    """(a, b, cosine): pairs of rows (id, embedding and ``keys``) with equal keys and a cosine of at least ``least``, each once.
+
+    With ``forest`` only as many pairs as connect the same rows, and no cosine.
+    """
     import numpy as np
 
     spark = rows.sparkSession
     ship(spark)
     cut = Cut(spark, "near")
-    base = cut(rows.select(F.xxhash64(*keys).alias("grp"), "id", "embedding"), "rows")
-    sizes = {r["d"]: r["count"] for r in base.groupBy(F.size("embedding").alias("d")).count().collect()}  # one row per dimension
-    pivots = {}
-    for d, n in sizes.items():
-        want = min(MAX_PIVOTS, max(1, n // ROWS_A_PIVOT))
-        picked = base.where(F.size("embedding") == d).orderBy(F.xxhash64("id", "grp")).limit(want).select("embedding").collect()
-        m = np.array([r["embedding"] for r in picked], np.float64)
-        pivots[d] = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    reach = 2 * math.acos(max(-1.0, min(1.0, least)))
-    placed = cut(base.mapInArrow(_places(spark.sparkContext.broadcast(pivots), reach), "grp long, id long, cell int, asks boolean, d int, v binary"), "placed")
-    block = ["grp", "cell", "d"]
-    chunks = cut(placed.where("not asks").groupBy(*block).agg(F.count(F.lit(1)).alias("n")), "cells").where(F.col("n") > 0)
-    met = placed.join(chunks.select(*block, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), block)
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    # a held row lies in its chunk and asks in the later ones of its cell; a visitor asks in all
-    to = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.sequence(mine, F.col("chunks") - 1))
-    spread = met.select(*block, "id", "v", F.posexplode(to).alias("i", "chunk"), "asks").withColumn("role", ((F.col("i") > 0) | F.col("asks")).cast("int"))
-    ordered = spread.repartition(partitions(spark), *block, "chunk").sortWithinPartitions(*block, "chunk", "role").select("grp", "cell", "chunk", "d", "role", "id", "v")
-    found = ordered.mapInArrow(_compare(least), "a long, b long, cosine double")
+    base = cut(rows.select(F.xxhash64(*keys).alias("grp"), "id", F.size("embedding").alias("d"), "embedding"), "rows")
+    groups = cut(base.groupBy("grp", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    block = ["grp", "cell", "chunk", "d"]
+
+    def compared(df: DataFrame) -> DataFrame:
+        ordered = df.repartition(partitions(spark), *block).sortWithinPartitions(*block, "role").select(*block, "role", "id", "v")
+        return ordered.mapInArrow(_compare(least, forest), "a long, b long, cosine double")
+
+    few = base.join(groups.where(F.col("n") <= CHUNK).select("grp", "d"), ["grp", "d"], "left_semi").select("grp", "id", "embedding")
+    none = spark.sparkContext.broadcast({})
+    small = few.mapInArrow(_places(none, 0.0), "grp long, id long, cell int, asks boolean, d int, v binary").select("grp", "id", "cell", "d", "v", F.lit(0).alias("chunk"), F.lit(0).alias("role"))
+    found = compared(small)
+    large = groups.where(F.col("n") > CHUNK)
+    sizes = {r["d"]: (r["n"], r["most"]) for r in large.groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}  # one row per dimension
+    if sizes:
+        many = cut(base.join(large.select("grp", "d"), ["grp", "d"], "left_semi").select("grp", "id", "d", "embedding"), "large")
+        reach = 2 * math.acos(max(-1.0, min(1.0, least)))
+        pivots = {}
+        for d, (n, most) in sizes.items():
+            want = min(MAX_PIVOTS, max(1, n // ROWS_A_PIVOT))
+            picked = many.where(F.col("d") == d).orderBy(F.xxhash64("id", "grp")).limit(want).select("embedding").collect()
+            m = np.array([r["embedding"] for r in picked], np.float64)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+            asks = (m @ m.T >= math.cos(min(reach, math.pi))).sum() / len(m)
+            if asks <= max(2, most / CHUNK):
+                pivots[d] = m
+        placed = cut(many.drop("d").mapInArrow(_places(spark.sparkContext.broadcast(pivots), reach), "grp long, id long, cell int, asks boolean, d int, v binary"), "placed")
+        cell = ["grp", "cell", "d"]
+        chunks = cut(placed.where("not asks").groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "cells").where(F.col("n") > 0)
+        met = placed.join(chunks.select(*cell, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), cell)
+        mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+        # a held row lies in its chunk and asks in the later ones of its cell; a visitor asks in all
+        to = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.sequence(mine, F.col("chunks") - 1))
+        spread = met.select(*cell, "id", "v", F.posexplode(to).alias("i", "chunk"), "asks").withColumn("role", ((F.col("i") > 0) | F.col("asks")).cast("int"))
+        found = found.unionByName(compared(spread))
     return found.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= least)
