@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factloom.operators import vector_join
+from factloom.operators import dedup, vector_join
 from factloom.operators.components import components
+from factloom.plans import store
 
 
 def clusters(df):
@@ -37,3 +38,15 @@ def test_places_hold_a_tile():
     out = list(vector_join._places(Pivots, 0.5)([batch]))
     assert sum((~b.column("asks").to_numpy(zero_copy_only=False)).sum() for b in out) == 3000
     assert max(len(set(b.column("id").to_pylist())) for b in out) <= 512
+
+
+def test_merge_asks_for_a_forest(spark, small, monkeypatch):
+    asked = []
+
+    def near(rows, keys, least, forest=False):
+        asked.append(forest)
+        return vector_join.near(rows, keys, least, forest)
+
+    monkeypatch.setattr(dedup, "near", near)
+    assert store.merge_guard(spark, small).count() == 1
+    assert asked == [True]
