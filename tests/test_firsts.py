@@ -87,3 +87,11 @@ def test_fts_and_search_without_pairs(spark, small, monkeypatch):
 
     monkeypatch.setattr(lexical, "all_tokens", all_tokens)
     assert retrieval.fts_and_search(spark, small).count() > 0
+
+
+def test_asof_search_without_pairs(spark, small, monkeypatch):
+    def all_tokens(*_):
+        raise AssertionError("a table of all pairs")
+
+    monkeypatch.setattr(lexical, "all_tokens", all_tokens)
+    assert retrieval.asof_search(spark, small).count() > 0
