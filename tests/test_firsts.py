@@ -95,3 +95,8 @@ def test_asof_search_without_pairs(spark, small, monkeypatch):
 
     monkeypatch.setattr(lexical, "all_tokens", all_tokens)
     assert retrieval.asof_search(spark, small).count() > 0
+
+
+def test_mmr_without_pairs(spark, small, monkeypatch):
+    no_pairs(monkeypatch)
+    assert retrieval.mmr_select(spark, small).count() > 0
