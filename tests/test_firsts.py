@@ -100,3 +100,8 @@ def test_asof_search_without_pairs(spark, small, monkeypatch):
 def test_mmr_without_pairs(spark, small, monkeypatch):
     no_pairs(monkeypatch)
     assert retrieval.mmr_select(spark, small).count() > 0
+
+
+def test_entity_expansion_without_pairs(spark, small, monkeypatch):
+    no_pairs(monkeypatch)
+    assert retrieval.entity_expansion_rank(spark, small).count() > 0
