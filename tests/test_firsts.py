@@ -105,3 +105,18 @@ def test_mmr_without_pairs(spark, small, monkeypatch):
 def test_entity_expansion_without_pairs(spark, small, monkeypatch):
     no_pairs(monkeypatch)
     assert retrieval.entity_expansion_rank(spark, small).count() > 0
+
+
+def test_context_pack_without_pairs(spark, small, monkeypatch):
+    """One prompt a query, packed once for queries of one text."""
+    from factloom.plans import writing
+
+    no_pairs(monkeypatch)
+    packed = []
+    monkeypatch.setattr(writing.prompts, "packed", lambda ranked, *a, plain=writing.prompts.packed: packed.append(ranked.select("query_id").distinct()) or plain(ranked, *a))
+    q = retrieval.search_queries(spark, small)
+    twice = q.unionByName(q.withColumn("query_id", F.col("query_id") + 1_000_000))
+    monkeypatch.setattr(retrieval, "search_queries", lambda *_: twice)
+    got = {r["query_id"]: r["context"] for r in writing.context_pack(spark, small).collect()}
+    assert got and all(got[n] == got[n + 1_000_000] for n in got if n < 1_000_000) and len(got) == twice.count()
+    assert packed[0].count() < len(got)
