@@ -120,3 +120,8 @@ def test_context_pack_without_pairs(spark, small, monkeypatch):
     got = {r["query_id"]: r["context"] for r in writing.context_pack(spark, small).collect()}
     assert got and all(got[n] == got[n + 1_000_000] for n in got if n < 1_000_000) and len(got) == twice.count()
     assert packed[0].count() < len(got)
+
+
+def test_budget_prefix_without_pairs(spark, small, monkeypatch):
+    no_pairs(monkeypatch)
+    assert retrieval.budget_prefix(spark, small).count() > 0
