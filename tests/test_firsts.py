@@ -125,3 +125,8 @@ def test_context_pack_without_pairs(spark, small, monkeypatch):
 def test_budget_prefix_without_pairs(spark, small, monkeypatch):
     no_pairs(monkeypatch)
     assert retrieval.budget_prefix(spark, small).count() > 0
+
+
+def test_result_margins_without_pairs(spark, small, monkeypatch):
+    no_pairs(monkeypatch)
+    assert retrieval.result_margins(spark, small).count() > 0
