@@ -72,3 +72,26 @@ def test_first_restated_without_pairs(spark, small, monkeypatch):
 def test_first_updated_without_pairs(spark, small, monkeypatch):
     no_pairs(spark, monkeypatch)
     assert writing.first_updated(spark, small).count() > 0
+
+
+@pytest.mark.parametrize("part", [4, 30])
+def test_what_first_facts_say_cuts_nothing(spark, facts, monkeypatch, part):
+    """The least score comes from the first facts of a chunk; frequent tokens wait, and are looked up both ways."""
+    monkeypatch.setattr(best, "PART", part)
+    q = facts.where("fact_id <= 30").select(F.col("fact_id").alias("query_id"), F.col("content").alias("query"))
+    keep = F.col("fact_id") % 4 != 0
+    for size in (128_000_000, 0):
+        monkeypatch.setattr(best, "DENSE", size)
+        for k in (1, 3, 30):
+            assert rows(lexical.bm25_top(facts, q, keep, k)) == rows(lexical.top(lexical.bm25(facts, q, keep), "bm25", k))
+
+
+def test_first_restated_splits_no_text_per_pair(spark, monkeypatch):
+    """The comparison reads stored tokens."""
+    from factloom.operators import service
+
+    monkeypatch.setattr(service, "semantic_duplicates", lambda pairs, *_: pairs)
+    p = spark.createDataFrame([(1, 1, 10, "the port is 80", "port is the 80", None), (2, 1, 11, "the port is 80", "the port is 81", None)], "request_id long, rank int, fact_id long, a_text string, b_text string, cosine double")
+    got = service.restated_first(p)
+    assert [tuple(r) for r in got.collect()] == [(1, 10)]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
