@@ -11,7 +11,9 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contradictions import conflict_label
+from ..functions.text import plain_of, stemmed, tokens, words_of
+from ..runtime import Cut
+from .contradictions import label, shared_stems
 from .keys import RUN_SCOPE, checked_scope
 from .numbering import numbered
 from .screens import credential_shaped, ephemeral_reason
@@ -87,13 +89,16 @@ def untyped_conflicts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     content tokens with, then the smallest identifier. Conflict identifiers
     are digests of the members.
     """
-    from ..functions.text import content_tokens
-
+    cut = Cut(facts.sparkSession, "conflicts")
     c = lambda n: facts.select(F.col("fact_id").alias(n), F.col("content").alias(f"_{n}"))
     r = pairs.select("newer", "older").join(c("newer"), "newer").join(c("older"), "older")
-    shared = F.size(F.array_intersect(content_tokens(F.col("_newer")), content_tokens(F.col("_older"))))
-    w = Window.partitionBy("newer").orderBy(shared.desc(), "older")
-    best = r.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("_l", conflict_label(F.col("_newer"), F.col("_older")))
+    # texts are split once, and what a label is made of is written before it is made
+    r = cut(r.select("newer", "older", tokens(F.col("_newer")).alias("_a"), tokens(F.col("_older")).alias("_b")), "tokens")
+    shared = F.size(F.array_intersect(words_of(F.col("_a")), words_of(F.col("_b"))))
+    w = Window.partitionBy("newer").orderBy(F.col("_s").desc(), "older")
+    best = r.withColumn("_s", shared).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    best = cut(best.select("newer", "older", "_a", stemmed(plain_of(words_of(F.col("_b")))).alias("_r")), "best")
+    best = cut(best.select("newer", "older", shared_stems(F.col("_a"), F.col("_r")).alias("_s")), "stems").withColumn("_l", label(F.col("_s")))
     key = F.concat(F.lit("conflict:"), F.substring(F.sha2(F.concat_ws(":", "older", "newer"), 256), 1, 24))
     return best.select("newer", "older", key.alias("conflict_id"), F.col("_l.subject").alias("subject_key"), F.col("_l.predicate").alias("predicate_key"))
 

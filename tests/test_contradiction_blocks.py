@@ -21,3 +21,13 @@ def test_apart_equals_all_pairs():
             want.add((j, i))
     got = apart(rows)
     assert want and set(zip(got["newer"].tolist(), got["older"].tolist())) == want and len(got) == len(want)
+
+
+def test_untyped_conflicts_split_no_text_per_pair(spark):
+    """Labels are made of stored stems."""
+    from factloom.operators import writes
+
+    f = spark.createDataFrame([(1, "the cache of atlas is enabled"), (2, "the cache of atlas is disabled"), (3, "an oak door")], "fact_id long, content string")
+    got = writes.untyped_conflicts(spark.createDataFrame([(2, 1), (2, 3)], "newer long, older long"), f)
+    assert [(r["newer"], r["older"], r["subject_key"], r["predicate_key"]) for r in got.collect()] == [(2, 1, "cache", "atlas")]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
